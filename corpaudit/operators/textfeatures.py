@@ -34,7 +34,9 @@ def with_tokens(
 def term_counts(df: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """One row per document and distinct term, ``tf`` counted inside the row.
 
-    The sorted terms of a document form runs; a run's length is its count. No shuffle.
+    The sorted terms of a document form runs; a run's length is its count. No shuffle. The outer
+    form of ``inline`` keeps the optimizer from inferring a filter on the array, which would inline
+    the sort into every comparison.
     """
     ordered = df.select(*keep, F.sort_array(tokens).alias("_sorted"))
     starts = ordered.withColumn(
@@ -44,15 +46,15 @@ def term_counts(df: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> D
             lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
         ),
     )
-    return (
-        starts.filter(F.size("_sorted") > 0)
-        .select(*keep, "_sorted", "_starts", F.posexplode("_starts").alias("_run", "_start"))
-        .select(
-            *keep,
-            F.get("_sorted", F.col("_start")).alias("term"),
-            (F.coalesce(F.get("_starts", F.col("_run") + 1), F.size("_sorted")) - F.col("_start")).cast("long").alias("tf"),
-        )
+    runs = F.transform(
+        "_starts",
+        lambda start, run: F.struct(
+            F.get("_sorted", start).alias("term"),
+            (F.coalesce(F.get("_starts", run + 1), F.size("_sorted")) - start).cast("long").alias("tf"),
+        ),
     )
+    counted = starts.select(*keep, runs.alias("_runs")).select(*keep, F.inline_outer("_runs"))
+    return counted.filter(F.col("term").isNotNull())
 
 
 def vocabulary(
@@ -134,7 +136,7 @@ def vector_entries(df: DataFrame, keep: Sequence[str], vector: str, terms: Seque
     """Sparse vectors in long form: ``keep``, ``term``, ``weight``."""
     names = df.sparkSession.createDataFrame(list(enumerate(terms)), "index int, term string")
     raw = df.select(*keep, F.unwrap_udt(vector).alias("_raw"))
-    long = raw.select(*keep, F.inline(F.arrays_zip(F.col("_raw.indices").alias("index"), F.col("_raw.values").alias("weight"))))
+    long = raw.select(*keep, F.inline_outer(F.arrays_zip(F.col("_raw.indices").alias("index"), F.col("_raw.values").alias("weight"))))
     # The vocabulary: at most max_features rows.
     return long.join(F.broadcast(names), "index").select(*keep, "term", "weight")
 
