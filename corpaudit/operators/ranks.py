@@ -13,6 +13,7 @@ Columns named in ``by`` must not be NULL.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -157,11 +158,10 @@ def order_statistics(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: ``by``, ``probability``, ``quantile``; NULLs left out."""
     by = list(by)
-    positions = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("probability"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"))
-            for p in probabilities
-        ]
+    # One literal array, however many probabilities.
+    listed = F.from_json(F.lit(json.dumps([float(p) for p in probabilities])), "array<double>")
+    positions = F.transform(
+        listed, lambda p: F.struct(p.alias("probability"), (p * (F.col("_total") - 1)).alias("at"))
     )
     return _lookup(df, column, positions, by, cuts).select(
         *by, "probability", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("quantile")
