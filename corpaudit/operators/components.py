@@ -10,42 +10,46 @@ from corpaudit.operators.duplicates import cluster_summary, leakage
 from corpaudit.session import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node it can see."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = edges.unionByName(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+    smallest = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    larger = both.filter(F.col("v") > F.col("u")).join(smallest, [*by, "u"])
+    return larger.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-    siblings = down.join(smallest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return siblings.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of them. Edges point downwards."""
+    smallest = edges.groupBy(*by, "u").agg(F.min("v").alias("m"))
+    siblings = edges.join(smallest, [*by, "u"]).filter(F.col("v") != F.col("m"))
+    linked = siblings.select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(smallest.select(*by, "u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _fingerprint(edges: DataFrame, by: list[str]):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``node``, ``cluster`` for every node with an edge; the cluster is its smallest node.
+def connected_components(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 100) -> DataFrame:
+    """``by``, ``node``, ``cluster`` for every node with an edge; the cluster is its smallest node.
 
-    ``edges`` has columns ``u``, ``v``. A round costs two joins on the edge list; the number of rounds
-    grows with the logarithm of the longest path. Each round is checkpointed, and the driver sees
-    only a fingerprint of the edges.
+    ``edges`` has columns ``u``, ``v``; graphs told apart by ``by`` are solved in the same rounds. A
+    round costs two joins on the edge list; the number of rounds grows with the logarithm of the
+    longest path. Each round is checkpointed, and the driver sees only a fingerprint of the edges.
+    The joins meet one row per node, so a hub's edges can be split by adaptive skew handling.
     """
-    current = checkpointed(
-        edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    by = list(by)
+    downwards = edges.filter(F.col("u") != F.col("v")).select(
+        *by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    before = _fingerprint(current)
+    current = checkpointed(downwards.distinct())
+    before = _fingerprint(current, by)
     for _ in range(max_rounds):
-        current = checkpointed(_small_star(_large_star(current)))
-        after = _fingerprint(current)
+        current = checkpointed(_small_star(_large_star(current, by), by))
+        after = _fingerprint(current, by)
         if after == before:
-            members = current.select(F.col("u").alias("node"), F.col("v").alias("cluster"))
-            roots = current.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct()
+            members = current.select(*by, F.col("u").alias("node"), F.col("v").alias("cluster"))
+            roots = current.select(*by, F.col("v").alias("node"), F.col("v").alias("cluster")).distinct()
             return members.unionByName(roots)
         before = after
     raise RuntimeError(f"no stable components after {max_rounds} rounds")
@@ -53,20 +57,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def clusters(nodes: DataFrame, key: str, pairs: DataFrame, threshold: float, name: str = "cluster") -> DataFrame:
     """``nodes`` with the cluster of each row under pairs at or above the threshold; singletons keep their own key."""
-    edges = pairs.filter(F.col("cosine_similarity") >= threshold).select(
-        F.col("row_a").alias("u"), F.col("row_b").alias("v")
+    swept = clusters_at(nodes, key, pairs, [threshold], name)
+    return swept.drop("similarity_threshold")
+
+
+def clusters_at(
+    nodes: DataFrame, key: str, pairs: DataFrame, thresholds: Sequence[float], name: str = "cluster"
+) -> DataFrame:
+    """``nodes`` once per ``similarity_threshold`` with its cluster there; all thresholds in the same rounds."""
+    levels = F.array(*[F.lit(float(t)) for t in thresholds])
+    by = ["similarity_threshold"]
+    edges = pairs.select(
+        F.col("row_a").alias("u"), F.col("row_b").alias("v"),
+        F.explode(F.filter(levels, lambda t: F.col("cosine_similarity") >= t)).alias(by[0]),
     )
-    labels = connected_components(edges).select(F.col("node").alias(key), F.col("cluster").alias("_cluster"))
-    return nodes.join(labels, key, "left").withColumn(name, F.coalesce("_cluster", F.col(key))).drop("_cluster")
+    labels = connected_components(edges, by).select(*by, F.col("node").alias(key), F.col("cluster").alias("_cluster"))
+    repeated = nodes.withColumn(by[0], F.explode(levels))
+    return repeated.join(labels, [*by, key], "left").withColumn(name, F.coalesce("_cluster", F.col(key))).drop("_cluster")
 
 
 def threshold_sweep(
     parts: DataFrame, key: str, target: str, pairs: DataFrame, thresholds: Sequence[float] = (0.95, 0.98, 0.99)
 ) -> DataFrame:
     """Cluster summary and train-test leakage per threshold. ``parts`` carries ``part``."""
-    labelled = None
-    for threshold in thresholds:
-        one = clusters(parts, key, pairs, threshold).withColumn("similarity_threshold", F.lit(float(threshold)))
-        labelled = one if labelled is None else labelled.unionByName(one)
     by = ["similarity_threshold"]
+    labelled = clusters_at(parts, key, pairs, thresholds)
     return cluster_summary(labelled, "cluster", target, by).join(leakage(labelled, "cluster", by), by)

@@ -58,8 +58,7 @@ def parts(spark, sf_dir):
 
 
 def cluster_threshold_sweep(spark, sf_dir):
-    close = pairs(spark, sf_dir).persist()
-    return rounded(components.threshold_sweep(parts(spark, sf_dir), "vec_id", "target", close, SWEEP))
+    return rounded(components.threshold_sweep(parts(spark, sf_dir), "vec_id", "target", pairs(spark, sf_dir), SWEEP))
 
 
 def leakage_near(spark, sf_dir):
