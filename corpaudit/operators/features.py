@@ -132,7 +132,8 @@ class FeatureSet:
 
 
 def _filled(column: str):
-    return F.coalesce(F.col(column), F.lit(MISSING)).alias(f"_{column}_value")
+    # An encoder's category cannot be named '', and NULL was '' before.
+    return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(MISSING)).alias(f"_{column}_value")
 
 
 class FittedFeatures:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,12 +16,15 @@ from corpaudit.functions.text import readable_feature
 from corpaudit.operators.features import FeatureSet, FittedFeatures
 from corpaudit.operators.metrics import binary_metrics
 from corpaudit.operators.splits import stratified_folds
+from corpaudit.session import checkpointed
 
 MAJORITY = "majority"
 LINEAR_SVM = "linear_svm"
 LOGISTIC = "logistic_regression"
 NAIVE_BAYES = "complement_naive_bayes"
 FOREST = "random_forest"
+ROWS_PER_TASK = 20_000
+FeatureKey = tuple[str, int, str]
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,7 @@ class ModelSpec:
     scaling: str = "std"
     smoothing: float = 1.0
     trees: int = 250
-    max_iter: int = 100
+    max_iter: int = 50
     inverse_regularisation: float = 1.0
 
     @property
@@ -100,7 +104,13 @@ class FittedModel:
         """``keep`` and ``score``: margin of linear models, else probability of the positive class."""
         if self.features is None:
             return df.select(*keep, F.lit(self.constant).alias("score"))
-        scored = self.model.transform(self.features.transform(df))
+        return self.score_vectors(self.features.transform(df), keep)
+
+    def score_vectors(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """The same for rows that carry ``features`` already."""
+        if self.model is None:
+            return vectors.select(*keep, F.lit(self.constant).alias("score"))
+        scored = self.model.transform(vectors)
         column = "rawPrediction" if self.spec.kind in (LINEAR_SVM, LOGISTIC) else "probability"
         return scored.select(*keep, vector_to_array(column)[1].alias("score"))
 
@@ -112,17 +122,62 @@ class FittedModel:
         )
 
 
+def _feature_set(spec: ModelSpec) -> FeatureSet:
+    return FeatureSet(spec.feature_group, max_text_features=spec.max_text_features, scaling=spec.scaling)
+
+
+def _fit_vectors(spec: ModelSpec, features: FittedFeatures | None, vectors: DataFrame, seed: int) -> FittedModel:
+    """Fit on rows of ``label`` and ``features``."""
+    if spec.kind == MAJORITY:
+        return FittedModel(spec, features, None, float(majority_class(vectors).first()["majority_label"]))
+    weighted, weight_sum = _weighted(vectors, spec.balanced)
+    # The weights add up to the number of rows. Few rows need few tasks per pass of the solver.
+    few = max(1, math.ceil(weight_sum / ROWS_PER_TASK))
+    return FittedModel(spec, features, _estimator(spec, weight_sum, seed).fit(weighted.coalesce(few)))
+
+
 def fit(spec: ModelSpec, train: DataFrame, seed: int = 42) -> FittedModel:
     """Fit on ``train`` with columns ``label`` and the posting columns of the spec's feature group."""
     if spec.kind == MAJORITY:
-        label = majority_class(train).first()["majority_label"]
-        return FittedModel(spec, None, None, float(label))
-    features = FeatureSet(
-        spec.feature_group, max_text_features=spec.max_text_features, scaling=spec.scaling
-    ).fit(train)
-    prepared, weight_sum = _weighted(features.transform(train).select("label", "features"), spec.balanced)
-    # The solver passes over its input many times and keeps its own blocks of it.
-    return FittedModel(spec, features, _estimator(spec, weight_sum, seed).fit(prepared))
+        return _fit_vectors(spec, None, train, seed)
+    features = _feature_set(spec).fit(train)
+    return _fit_vectors(spec, features, _feature_table(features, train), seed)
+
+
+def _feature_table(features: FittedFeatures, train: DataFrame) -> DataFrame:
+    """Training vectors written once: every pass of a solver ships its plan, so the plan is kept short."""
+    return checkpointed(features.transform(train).select("label", "features"))
+
+
+def fit_and_score(
+    train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec], keep: Sequence[str], seed: int = 42
+) -> tuple[DataFrame, dict[str, FittedModel]]:
+    """Every spec fitted on ``train`` and its scores of ``test``: ``model``, ``threshold``, ``keep``, ``score``.
+
+    Specs with the same inputs share one feature table. The scores are written once, so that nothing
+    read from them fits a model again.
+    """
+    sharing: dict[FeatureKey, list[ModelSpec]] = {}
+    for spec in specs:
+        sharing.setdefault((spec.feature_group, spec.max_text_features, spec.scaling), []).append(spec)
+
+    def one(group: list[ModelSpec]):
+        features = _feature_set(group[0]).fit(train)
+        vectors = _feature_table(features, train)
+        held_out = features.transform(test).select(*keep, "features").persist()
+        models = in_parallel([lambda s=s: _fit_vectors(s, features, vectors, seed) for s in group])
+        scored = union_all([
+            model.score_vectors(held_out, keep).select(
+                F.lit(model.spec.name).alias("model"), F.lit(model.spec.threshold).alias("threshold"), *keep, "score"
+            )
+            for model in models
+        ])
+        written = checkpointed(scored)
+        held_out.unpersist()
+        return written, models
+
+    done = in_parallel([lambda g=g: one(g) for g in sharing.values()])
+    return union_all([scored for scored, _ in done]), {m.spec.name: m for _, models in done for m in models}
 
 
 def top_coefficients(fitted: FittedModel, spark, top: int = 25) -> DataFrame:
@@ -151,16 +206,11 @@ def evaluate_split(
     keep: Sequence[str] = (), seed: int = 42,
 ) -> tuple[DataFrame, dict[str, FittedModel]]:
     """Fit each spec on the 'train' rows and score the 'test' rows: ``model``, key, label, score, ``keep``."""
-    named = parts.withColumn("label", F.col(label).cast("int"))
+    named = parts.withColumn("label", F.col(label).cast("int")).persist()
     train, test = named.filter(F.col("part") == "train"), named.filter(F.col("part") == "test")
-    fitted = dict(zip([s.name for s in specs], in_parallel([lambda s=s: fit(s, train, seed) for s in specs])))
-    scored = [
-        model.score(test, [key, "label", *keep]).select(
-            F.lit(name).alias("model"), F.lit(model.spec.threshold).alias("threshold"), key, "label", "score", *keep
-        )
-        for name, model in fitted.items()
-    ]
-    return union_all(scored), fitted
+    scored = fit_and_score(train, test, specs, [key, "label", *keep], seed)
+    named.unpersist()
+    return scored
 
 
 def out_of_fold(
@@ -168,16 +218,15 @@ def out_of_fold(
     folds: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Every row scored once per model, by the model that did not see its fold."""
-    folded = stratified_folds(df, key, label, folds, seed).withColumn("label", F.col(label).cast("int"))
+    folded = stratified_folds(df, key, label, folds, seed).withColumn("label", F.col(label).cast("int")).persist()
 
-    def one(spec: ModelSpec, fold: int) -> DataFrame:
-        fitted = fit(spec, folded.filter(F.col("fold") != fold), seed)
-        held_out = folded.filter(F.col("fold") == fold)
-        return fitted.score(held_out, [key, "label", "fold"]).select(
-            F.lit(spec.name).alias("model"), F.lit(spec.threshold).alias("threshold"), key, "label", "fold", "score"
-        )
+    def one(fold: int) -> DataFrame:
+        train, held_out = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        return fit_and_score(train, held_out, specs, [key, "label", "fold"], seed)[0]
 
-    return union_all(in_parallel([lambda s=s, f=f: one(s, f) for s in specs for f in range(folds)]))
+    scored = union_all(in_parallel([lambda f=f: one(f) for f in range(folds)], threads=2))
+    folded.unpersist()
+    return scored
 
 
 # Metric names of the cross-validation tables.

@@ -15,6 +15,7 @@ from corpaudit.operators.models import (
 from corpaudit.operators.neighbours import knn_pairs, pair_details, review_pairs, top_pairs
 from corpaudit.operators.reports import drop_vs_baseline, lowest_per_group, repeat_summary
 from corpaudit.roles import POSTING_ROLES
+from corpaudit.session import checkpointed
 
 KEY, TARGET = POSTING_ROLES.key, POSTING_ROLES.target
 
@@ -95,7 +96,7 @@ def holdout(df: DataFrame, seed: int = STUDY_SEED) -> DataFrame:
 
 def holdout_scores(df: DataFrame, spec: ModelSpec = FULL_SVM, seed: int = STUDY_SEED):
     """Fit on the training side; the fitted model and its scores with the test rows' columns."""
-    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int"))
+    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int")).persist()
     fitted = fit(spec, parts.filter(F.col("part") == "train"), seed)
     test = parts.filter(F.col("part") == "test")
     keep = [c for c in test.columns if c not in ("score", "combined_text", "part")]
@@ -155,7 +156,7 @@ def feature_ablation(df: DataFrame, seed: int = STUDY_SEED) -> DataFrame:
 def counterfactual_study(df: DataFrame, spec: ModelSpec = FULL_SVM, seed: int = STUDY_SEED) -> dict[str, DataFrame]:
     """Metrics and score shifts of the fitted model on edited test rows."""
     fitted, test, _ = holdout_scores(df, spec, seed)
-    scored = {name: fitted.score(rows, [KEY, "label"]) for name, rows in counterfactual.scenarios(test).items()}
+    scored = {name: checkpointed(fitted.score(rows, [KEY, "label"])) for name, rows in counterfactual.scenarios(test).items()}
     original = scored[counterfactual.SCENARIOS[0]]
     tagged = union_all([rows.withColumn("scenario", F.lit(name)) for name, rows in scored.items()])
     shifts = [
@@ -169,7 +170,7 @@ def counterfactual_study(df: DataFrame, spec: ModelSpec = FULL_SVM, seed: int =
 
 def training_distribution(df: DataFrame, seed: int = STUDY_SEED, spec: ModelSpec = FULL_SVM) -> DataFrame:
     """The same model trained on resampled or reweighted rows, tested on the untouched holdout."""
-    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int"))
+    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int")).persist()
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
 
     def one(label: str, strategy: str, balanced: bool):
@@ -180,7 +181,7 @@ def training_distribution(df: DataFrame, seed: int = STUDY_SEED, spec: ModelSpec
             F.lit("balanced" if balanced else "none").alias("class_weight"),
             F.count(F.lit(1)).alias("training_rows"), F.avg("label").alias("training_fake_rate"),
         )
-        return fitted.score(test, [KEY, "label"]).withColumn("model", F.lit(label)), size
+        return checkpointed(fitted.score(test, [KEY, "label"]).withColumn("model", F.lit(label))), size
 
     done = in_parallel([lambda v=v: one(*v) for v in TRAINING_VARIANTS])
     scores, sizes = union_all([s for s, _ in done]), union_all([s for _, s in done])
@@ -192,7 +193,7 @@ def label_scarcity(
     spec: ModelSpec = FULL_SVM,
 ) -> DataFrame:
     """Means and deviations of the holdout metrics by number of positive labels in training."""
-    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int"))
+    parts = holdout(df, seed).withColumn("label", F.col(TARGET).cast("int")).persist()
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
     samples = sampling.label_scarcity_samples(train, KEY, "label", counts, repeats, seed).persist()
     runs = ["fake_labels_available", "repeat"]
@@ -201,7 +202,7 @@ def label_scarcity(
     def one(count: int, repeat: int) -> DataFrame:
         rows = samples.filter((F.col(runs[0]) == count) & (F.col(runs[1]) == repeat))
         scored = fit(spec, rows, seed).score(test, [KEY, "label"])
-        return scored.select("*", F.lit(count).alias(runs[0]), F.lit(repeat).alias(runs[1]))
+        return checkpointed(scored.select("*", F.lit(count).alias(runs[0]), F.lit(repeat).alias(runs[1])))
 
     # One row per run.
     wanted = [(r[runs[0]], r[runs[1]]) for r in sizes.select(*runs).collect()]
@@ -313,7 +314,7 @@ def leakage_runs(
     runs = ["model", "split_protocol", "seed"]
 
     def one(seed: int, protocol: str):
-        parts = splits.split_by_protocol(df, protocol, seed, KEY, TARGET, candidates=LEAKAGE_CANDIDATES)
+        parts = splits.split_by_protocol(df, protocol, seed, KEY, TARGET, candidates=LEAKAGE_CANDIDATES).persist()
         scored, _ = evaluate_split(parts, specs, KEY, TARGET)
         tags = [F.lit(protocol).alias("split_protocol"), F.lit(seed).alias("seed")]
         return scored.select("*", *tags), splits.split_stats(parts, TARGET).select("*", *tags)

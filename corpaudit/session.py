@@ -47,3 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A freshly read table over all cores. Tables already in as many pieces are left alone.
+
+    A small file is one task otherwise, however much work its texts are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

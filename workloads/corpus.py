@@ -10,6 +10,7 @@ from corpaudit.operators.textfeatures import tfidf, vocabulary, with_tokens
 from corpaudit.roles import POSTING_ROLES
 from corpaudit.sources.corpus import read_corpus, side_by_side
 from corpaudit.roles import Roles
+from corpaudit.session import spread
 from workloads.views import (
     BLANK, POSTINGS, PREPARED, TEXTS, postings, raw_postings, rounded, scored_postings, sql_combined, sql_normalised,
     sql_words, table,
@@ -162,7 +163,7 @@ def cluster_summary(spark, sf_dir):
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def joined_tokens(spark, sf_dir, stop_words, ngrams):

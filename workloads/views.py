@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpaudit.operators.postings import prepared
+from corpaudit.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with ``labels`` in the shape of the raw posting table."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     lines = F.split("text", "\n")
     several = F.size(lines) > 1
     size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long")
