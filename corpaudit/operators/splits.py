@@ -129,7 +129,8 @@ def group_split(
     df: DataFrame, group: str, label: str, seed: int, candidates: int = 1, share: float = TEST_SHARE
 ) -> DataFrame:
     """``df`` with ``part``; no group is on both sides. With several candidates, the best of them."""
-    groups = group_table(df, group, label)
+    # Three passes read the groups; the texts behind their keys are read once.
+    groups = group_table(df, group, label).persist()
     if candidates == 1:
         chosen = group_cutoffs(groups, group, seed, 1, share)
     else:

@@ -30,7 +30,7 @@ def group_split(spark, sf_dir):
 
 
 def best_group_split(spark, sf_dir):
-    groups = splits.group_table(slim(spark, sf_dir), "content_signature", TARGET)
+    groups = splits.group_table(slim(spark, sf_dir), "content_signature", TARGET).persist()
     best = splits.best_candidate(groups, "content_signature", SEED, 100)
     return rounded(best.select("candidate", "cutoff", "test_rows", "test_positives", "gap"))
 
