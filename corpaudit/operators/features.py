@@ -84,11 +84,15 @@ def _scaled(df: DataFrame, scales: dict[str, float]) -> DataFrame:
 
 
 def l2_normalised(df: DataFrame, vector: str) -> DataFrame:
-    """Array vectors divided by their length; a zero vector stays."""
+    """Array vectors divided by their length; a zero vector stays.
+
+    The length is an argument next to the vector, not a name inside the per-element function, so the
+    optimizer cannot move its computation into the loop.
+    """
     squares = F.aggregate(F.col(vector), F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    with_norm = df.withColumn("_norm", F.sqrt(squares))
-    divisor = F.when(F.col("_norm") == 0, 1.0).otherwise(F.col("_norm"))
-    return with_norm.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / divisor)).drop("_norm")
+    length = F.sqrt(squares)
+    divisors = F.array_repeat(F.when(length == 0, 1.0).otherwise(length), F.size(vector))
+    return df.withColumn(vector, F.zip_with(vector, divisors, lambda x, d: x.cast("double") / d))
 
 
 @dataclass

@@ -260,7 +260,7 @@ def near_duplicate_pairs(
     dimensions: int = topics.EMBEDDING_DIMENSIONS, max_features: int = topics.PAIR_FEATURES,
 ) -> DataFrame:
     """Nearest-neighbour pairs of texts in the reduced TF-IDF space."""
-    embedded = topics.svd_embedding(df, KEY, text, dimensions, max_features)
+    embedded = checkpointed(topics.svd_embedding(df, KEY, text, dimensions, max_features))
     return knn_pairs(embedded, KEY, "embedding", k, min_similarity)
 
 
