@@ -92,7 +92,7 @@ def test_mix(spark, documents, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
     rng = random.Random(9)
     rows = [(i, "w " * rng.randrange(60), "en", rng.choice(["a", "a", "a", "a", "b", "ä", "z", None])) for i in range(400)]
-    rows += [(1000, None, "en", "a"), (1001, "", "en", "empty"), (1002, "x y", "en", "tiny"), (7, "dup row y", "en", "b"), (7, "dup row y", "en", "b"), (None, "k " * 9, "en", "b"), (8000, "big " * 30_000, "en", "b")]
+    rows += [(1000, None, "en", "a"), (1001, "", "en", "empty"), (1002, "x y", "en", "tiny"), (7007, "dup row y", "en", "b"), (7007, "dup row y", "en", "b"), (None, "k " * 9, "en", "b"), (8000, "big " * 30_000, "en", "b")]
     docs = documents(rows, "size")
     found = mixing.mixed(docs).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
