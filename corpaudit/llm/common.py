@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -84,3 +86,66 @@ def written(df: DataFrame) -> DataFrame:
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+#: Distinct words whose hashes a worker remembers before it starts afresh.
+REMEMBERED = 1_000_000
+
+
+class WordHashes(dict):
+    """64-bit hash of a word's bytes, the same on every machine; ``numbers`` gives those of a text as an array."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    """Spreads every bit of 64-bit numbers over all bits (the finaliser of a public hash; a one-to-one map)."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` word hashes."""
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        h = np.full(count, n, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[i:i + count]
+        return mixed_bits(h)
+
+
+def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least key of every window of ``width``, by doubling."""
+    span = 1
+    while span * 2 <= width:
+        keys = np.minimum(keys[:-span], keys[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
+
+
+#: Low bits of a key that hold its place, so that the leftmost of equal hashes is the least.
+PLACE_BITS = 28
+
+
+def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Places picked by at least one window of ``width`` hashes: the leftmost least one (the top bits decide).
+
+    The pick depends on the window's hashes alone, so equal windows pick the same places in every text.
+    """
+    if len(hashes) < width:
+        return np.zeros(0, np.int64)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    keys = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
+    places = (window_minima(keys, width) & mask).astype(np.int64)
+    return places[np.flatnonzero(np.diff(places, prepend=-1))]
