@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpaudit.llm import chat, divergence, licenses, mixing, tokencounts, winnowing
+from corpaudit.llm import chat, divergence, licenses, mixing, tokencounts, toxicity, winnowing
 from corpaudit.llm.common import read
 
 QUERIES: dict = {}
@@ -42,6 +42,16 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return toxicity.toxicity_scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic",
+    )
+
+
 #: The conversation that the query adds to the table: control strings in both texts.
 ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
