@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -149,3 +149,25 @@ def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
     keys = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
     places = (window_minima(keys, width) & mask).astype(np.int64)
     return places[np.flatnonzero(np.diff(places, prepend=-1))]
+
+
+def hash_filter(hashes: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits with two set for each ``hash``, or-ed on the executors: size / 64 rows at most come to the driver,
+    however many hashes there are. A full filter lets everything through; it only saves work for what decides later."""
+    probes = F.array(F.expr(f"hash & {size - 1}L"), F.expr(f"shiftrightunsigned(hash, 32) & {size - 1}L"))
+    rows = (
+        hashes.select(F.explode(probes).alias("bit"))
+        .groupBy(F.expr("bit div 64").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
+    )
+    words = np.zeros(size // 64, np.int64)
+    for row in rows:
+        words[row["word"]] = row["bits"]
+    return words.view(np.uint64)
+
+
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits, found = np.uint64(64 * len(words) - 1), np.ones(len(hashes), bool)
+    for probe in (hashes & bits, (hashes >> np.uint64(32)) & bits):
+        found &= (words[probe >> np.uint64(6)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found

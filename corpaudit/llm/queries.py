@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpaudit.llm import chat, divergence, licenses, mixing, tokencounts, toxicity, winnowing
+from corpaudit.llm import chat, divergence, licenses, mixing, partition_join, tokencounts, toxicity, winnowing
 from corpaudit.llm.common import read
 
 QUERIES: dict = {}
@@ -82,6 +82,11 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_join.similarity_components(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.edited_counts(read(spark, sf_dir, "documents")).drop("leaf_chars", "leaf_tokens")

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from corpaudit.llm.common import WordHashes, arrow_map, as_bytes, gram_hashes, plain_words, values, winnowed, written
+from corpaudit.llm.common import (
+    WordHashes, arrow_map, as_bytes, gram_hashes, hash_filter, in_filter, plain_words, values, winnowed, written,
+)
 
 #: Words of a window; every shared run of so many words is found.
 WINDOW = 13
@@ -37,7 +39,7 @@ def _fingerprints(words: list[bytes], short: list[int], bits: np.ndarray | None
     places = winnowed(grams, WINDOW - GRAM + 1)
     for n, around, at, hashes in [(GRAM, reach, places, grams[places])] + [(n, 0, None, gram_hashes(numbers, n)) for n in short]:
         signed = hashes.view(np.int64)
-        picked = np.arange(len(hashes)) if bits is None else np.flatnonzero(_in_filter(bits, hashes))
+        picked = np.arange(len(hashes)) if bits is None else np.flatnonzero(in_filter(bits, hashes))
         for i in picked.tolist():
             place = i if at is None else int(at[i])
             left = min(around, place)
@@ -45,27 +47,6 @@ def _fingerprints(words: list[bytes], short: list[int], bits: np.ndarray | None
     return found
 
 
-def _filter_of(fingerprints: DataFrame, size: int) -> np.ndarray:
-    """Two bits of each fingerprint, or-ed on the executors: size / 64 rows at most come to the driver."""
-    probes = F.array(F.expr(f"hash & {size - 1}L"), F.expr(f"shiftrightunsigned(hash, 32) & {size - 1}L"))
-    rows = (
-        fingerprints.select(F.explode(probes).alias("bit"))
-        .groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
-    )
-    words = np.zeros(size // 64, np.int64)
-    for row in rows:
-        words[row["word"]] = row["bits"]
-    return words.view(np.uint64)
-
-
-def _in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits, found = np.uint64(64 * len(words) - 1), np.ones(len(hashes), bool)
-    for probe in (hashes & bits, (hashes >> np.uint64(32)) & bits):
-        found &= (words[probe >> np.uint64(6)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return found
-
-
 def _extended(document: tuple, item: tuple) -> tuple[int, int] | None:
     """First and past-the-last word of the run around a common gram that both share, if it is a whole window."""
     (_, place, n, left, context), (_, _, _, item_left, item_context) = document, item
@@ -122,7 +103,7 @@ def contaminated_spans(
         return rows
 
     keys = written(arrow_map(wordings, of_item, T.StructType([T.StructField("wording", T.StringType()), *_FINGERPRINT])))
-    bits = _filter_of(keys, FILTER_BITS)
+    bits = hash_filter(keys.select("hash"), FILTER_BITS)
     short = sorted(r["n"] for r in keys.filter("n > 0").select("n").distinct().collect())  # lengths below WINDOW
 
     def of_document(batch: pa.RecordBatch) -> list[tuple]:
