@@ -89,7 +89,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Distinct words whose hashes a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):

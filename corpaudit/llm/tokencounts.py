@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters behind a pre-token's end that can decide where it ends (white space looks past its last character).
 CONTEXT = 2
 LEAF = 64
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: What the default edits mask: addresses, long numbers, keys.
 MASKS = (
