@@ -158,11 +158,10 @@ def hash_filter(hashes: DataFrame, size: int) -> np.ndarray:
     rows = (
         hashes.select(F.explode(probes).alias("bit"))
         .groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
     )
     words = np.zeros(size // 64, np.int64)
-    for row in rows:
-        words[row["word"]] = row["bits"]
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return words.view(np.uint64)
 
 

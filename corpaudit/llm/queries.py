@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpaudit.llm import chat, divergence, licenses, mixing, partition_join, tokencounts, toxicity, winnowing
+from corpaudit.llm import chat, divergence, licenses, mixing, partition_join, secrets, suffix_dedup, tokencounts, toxicity, winnowing
 from corpaudit.llm.common import read
 
 QUERIES: dict = {}
@@ -52,6 +52,13 @@ def op3_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_counts(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_candidates", "n_secrets", "kinds", F.round("max_score", 6).alias("max_score"),
+    )
+
+
 #: The conversation that the query adds to the table: control strings in both texts.
 ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -75,6 +82,13 @@ def op5_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select(
