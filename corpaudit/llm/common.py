@@ -83,9 +83,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again: its lineage ends there."""
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return Scratch().written(df)
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when what was made from them is written itself."""
+
+    def __init__(self):
+        self.folders: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+        df.write.parquet(folder)
+        self.folders.append((spark, folder))
+        return spark.read.schema(df.schema).parquet(folder)
+
+    def clear(self) -> None:
+        for spark, folder in self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = []
 
 
 #: Distinct words whose hashes a worker remembers before it starts afresh.
@@ -170,3 +187,24 @@ def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     for probe in (hashes & bits, (hashes >> np.uint64(32)) & bits):
         found &= (words[probe >> np.uint64(6)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
+
+
+def passing(df: DataFrame, hash_column: str, words: np.ndarray, wanted: bool = True) -> DataFrame:
+    """The rows whose hash is in a filter, or (``wanted`` false) those whose hash isn't: together, every row once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.array(values(batch, hash_column), np.int64).view(np.uint64)
+            kept = batch.filter(pa.array(in_filter(words, hashes) == wanted))
+            if kept.num_rows:
+                yield kept
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame, columns: list[str], size: int = 1 << 23) -> DataFrame:
+    """``docs`` without the rows whose ``columns`` (no NULLs) stand in ``gone``. A filter of fixed size, made from
+    ``gone``, lets rows that are surely kept pass by; only the others are joined and shuffled."""
+    hashed = docs.withColumn("_hash", F.xxhash64(*columns))
+    words = hash_filter(gone.select(F.xxhash64(*columns).alias("hash")), size)
+    left = passing(hashed, "_hash", words).join(gone.select(*columns).distinct(), columns, "left_anti").select(*docs.columns)
+    return passing(hashed, "_hash", words, wanted=False).select(*docs.columns).unionByName(left)

@@ -9,7 +9,7 @@ agreeing segments are the join keys; what they find is verified on the sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import (
-    WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, to_batch, values, written,
+    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing, to_batch, values, without,
+    written,
 )
 from corpaudit.operators.components import connected_components
 
@@ -148,14 +149,16 @@ _COUNTED = T.StructType([
 _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def _counted(docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme]) -> DataFrame:
+def _counted(
+    docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme], keep: Sequence[str]
+) -> DataFrame:
     lows = [s.low for s in schemes]
 
-    def describe(name, data: bytes | None) -> tuple:
+    def describe(data: bytes | None) -> tuple:
         elements = shingle_set(data, width)
         n = len(elements)
         if not n:
-            return name, 0, None, None, []
+            return 0, None, None, []
         own = schemes[np.searchsorted(lows, n, side="right") - 1]
         used = [own]
         if n * 100 >= percent * (own.high + 1):  # a larger set of the next band can be similar
@@ -164,14 +167,14 @@ def _counted(docs: DataFrame, key: str, text: str, width: int, percent: int, sch
         # where no difference is allowed, similar sets are equal, and equal sets are one node
         found = [signatures(elements, s) for s in used if s.segments + s.deletions > 1]
         return (
-            name, n, node - (1 << 64) if node >> 63 else node, parity(elements, used[-1].bits),
+            n, node - (1 << 64) if node >> 63 else node, parity(elements, used[-1].bits),
             np.concatenate(found) if found else [],
         )
 
     def run(batch: pa.RecordBatch) -> list[tuple]:
-        return [describe(*row) for row in zip(values(batch, key), as_bytes(batch, text))]
+        return [(*own, *describe(data)) for *own, data in zip(*(values(batch, c) for c in (key, *keep)), as_bytes(batch, text))]
 
-    return arrow_map(docs.select(key, text), run, T.StructType([docs.schema[key], *_COUNTED.fields]))
+    return arrow_map(docs.select(key, *keep, text), run, T.StructType([*(docs.schema[c] for c in (key, *keep)), *_COUNTED.fields]))
 
 
 def _grouped(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -188,19 +191,24 @@ def _grouped(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield group
 
 
-def _near_pairs(members: DataFrame, schemes: list[Scheme], percent: int, forest: bool) -> DataFrame:
+def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], percent: int, forest: bool) -> DataFrame:
     """Pairs ``u`` < ``v`` of nodes that share a signature, can be similar by their sizes and bitmaps, and are in
-    different clusters. With ``forest``, as few of them as connect each group.
+    different clusters. With ``forest``, as few of them as connect each group; without it, groups of two are left out,
+    as their forest was all of them.
 
-    ``members`` has ``sig``, ``node``, ``n_shingles``, ``bitmap``, ``cluster``. Groups above ``BLOCK`` nodes are dealt
+    ``members`` has ``sig``, ``node``; ``nodes`` has ``node``, ``n_shingles``, ``bitmap``, ``cluster``. Groups above ``BLOCK`` nodes are dealt
     out as pairs of blocks, so that a task holds two blocks at a time, whatever the group's size.
     """
-    blocks = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = (
+        members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= (2 if forest else 3))
+        .select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         members.join(blocks, "sig").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n_shingles", "bitmap", "cluster")
+        .select("sig", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node")
+        .join(nodes, "node").select("sig", "a", "b", "own", "node", "n_shingles", "bitmap", "cluster")
         .repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b", "node")
     )
     names = ("sig", "a", "b", "own", "node", "n_shingles", "bitmap", "cluster")
@@ -285,11 +293,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
 
 
 def similar_sets(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with their set's node, and the links that connect the nodes.
 
-    First: ``key``, ``n_shingles``, ``node`` (NULL without words), one row per document. Second: ``u``, ``v``, verified
+    First: ``key``, ``keep``, ``n_shingles``, ``node`` (NULL without words), one row per document. Second: ``u``, ``v``, verified
     links between different sets. Equal sets are one node; they are told apart by a 64-bit hash and joined by it and
     their size. Elements are 64-bit hashes of the shingles' words.
 
@@ -301,23 +309,49 @@ def similar_sets(
     table gives no rows; other columns are not read.
     """
     schemes = _schemes(docs, text, percent)
-    counted = written(_counted(docs, key, text, width, percent, schemes))
-    nodes = counted.filter("node IS NOT NULL").groupBy("node").agg(
+    scratch = Scratch()
+    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep))
+    counted = written(wide.select(key, *keep, "n_shingles", "node"))
+    nodes = scratch.written(wide.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")
-    )
-    spread = counted.select(F.explode("signatures").alias("sig"), "node")
+    ))
+    spread = wide.select(F.explode("signatures").alias("sig"), "node")
     shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig")
-    members = spread.join(shared, "sig").distinct()
-    nodes = written(nodes)
-    members = written(members.join(nodes.select("node", "n_shingles", "bitmap"), "node"))
-    alone = members.withColumn("cluster", F.col("node"))
-    forest = written(_near_pairs(alone, schemes, percent, forest=True))
+    members = scratch.written(spread.join(shared, "sig").distinct())
+    plain = nodes.select("node", "n_shingles", "bitmap")
+    forest = scratch.written(_near_pairs(members, plain.withColumn("cluster", F.col("node")), schemes, percent, forest=True))
     links = _verified(forest, nodes, docs, key, text, width, percent)
     clusters = connected_components(links)
-    joined = members.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    rest = written(_near_pairs(joined, schemes, percent, forest=False).join(forest, ["u", "v"], "left_anti"))
+    clustered = plain.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    rest = scratch.written(_near_pairs(members, clustered, schemes, percent, forest=False).join(forest, ["u", "v"], "left_anti"))
     links = links.unionByName(_verified(rest, nodes, docs, key, text, width, percent))
-    return counted.select(key, "n_shingles", "node"), links
+    scratch.clear()
+    return counted, links
+
+
+def clustered(counted: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents of ``similar_sets`` with ``cluster``, the node that stands for all that links lead to."""
+    return counted.join(connected_components(links), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one row of each group that links make: the one with the smallest key (NULL last), then the smallest
+    hash of its text. Of rows equal in key and text one stays. Documents without words are linked with nothing and stay,
+    one for each key and text. Edge cases as in ``similar_sets``."""
+    marked = docs.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn(
+        "_mark", F.coalesce(F.xxhash64(text), F.lit(0)))
+    placed = clustered(*similar_sets(marked, key, text, width, percent, keep=["_id", "_mark"]))
+    place = F.struct(F.col(key).isNull().alias("late"), F.col(key), F.col("_mark"), F.col("_id"))
+    best = placed.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(place).alias("best")).select("cluster", "best._id", "best._mark")
+    stay = best.select("_id", "_mark")
+    gone = placed.filter("cluster IS NOT NULL").select("_id", "_mark").distinct().join(stay, ["_id", "_mark"], "left_anti")
+    repeated = placed.groupBy("_id", "_mark").count().filter("count > 1").select("_id", "_mark")
+    gone, repeated = written(gone), written(repeated.join(gone, ["_id", "_mark"], "left_anti"))
+    rest = without(marked, gone.unionByName(repeated), ["_id", "_mark"])
+    words = hash_filter(repeated.select(F.xxhash64("_id", "_mark").alias("hash")), FILTER_BITS)
+    again = passing(marked.withColumn("_hash", F.xxhash64("_id", "_mark")), "_hash", words)
+    once = again.join(repeated, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def similarity_components(
@@ -328,9 +362,7 @@ def similarity_components(
     A document without words is its own component. NULL keys never are the smallest while another key is there. Other
     edge cases as in ``similar_sets``.
     """
-    counted, links = similar_sets(docs, key, text, width, percent)
-    clusters = connected_components(links)
-    placed = counted.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    placed = clustered(*similar_sets(docs, key, text, width, percent))
     smallest = placed.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(key).alias("component_id"))
     found = placed.join(smallest, "cluster", "left")
     own = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from corpaudit.llm.common import (
-    WordHashes, arrow_map, as_bytes, gram_hashes, hash_filter, in_filter, plain_words, values, winnowed, written,
+    WordHashes, arrow_map, as_bytes, gram_hashes, hash_filter, in_filter, plain_words, values, winnowed, without,
+    written,
 )
 
 #: Words of a window; every shared run of so many words is found.
@@ -67,11 +70,11 @@ def _extended(document: tuple, item: tuple) -> tuple[int, int] | None:
 
 def contaminated_spans(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text",
+    item_text: str = "text", keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with their word counts, and the spans they share with the benchmark.
 
-    First: ``row`` (unique), ``key``, ``n_words``. Second: ``row``, ``start``, ``end`` (word places, end excluded),
+    First: ``row`` (unique), ``key``, ``keep``, ``n_words``. Second: ``row``, ``start``, ``end`` (word places, end excluded),
     ``item`` (the item's id as text, '' for NULL). Each span lies in a shared run of ``WINDOW`` words, or is an item of
     fewer words; together they cover every document word inside an occurrence of a window.
 
@@ -108,16 +111,16 @@ def contaminated_spans(
 
     def of_document(batch: pa.RecordBatch) -> list[tuple]:
         rows = []
-        for name, data in zip(values(batch, key), as_bytes(batch, text)):
+        for *own, data in zip(*(values(batch, c) for c in (key, *keep)), as_bytes(batch, text)):
             words = plain_words(data)
-            rows.append((name, len(words), [dict(zip(("hash", "place", "n", "left", "context"), f)) for f in _fingerprints(words, short, bits)]))
+            rows.append((*own, len(words), [dict(zip(("hash", "place", "n", "left", "context"), f)) for f in _fingerprints(words, short, bits)]))
         return rows
 
     schema = T.StructType([
-        T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()),
+        *(docs.schema[c] for c in (key, *keep)), T.StructField("n_words", T.LongType()),
         T.StructField("found", T.ArrayType(T.StructType(_FINGERPRINT))),
     ])
-    counted = written(arrow_map(docs.select(key, text), of_document, schema).withColumn("row", F.monotonically_increasing_id()))
+    counted = written(arrow_map(docs.select(key, *keep, text), of_document, schema).withColumn("row", F.monotonically_increasing_id()))
     found = counted.select("row", F.inline("found"))
     other = keys.select(
         "hash", "n", "wording", F.col("left").alias("item_left"), F.col("context").alias("item_context"),
@@ -138,19 +141,19 @@ def contaminated_spans(
         T.StructField("wording", T.StringType()),
     ]))
     spans = written(spans.distinct())
-    return counted.select("row", key, "n_words"), spans.join(items.select("wording", "item").distinct(), "wording")
+    return counted.select("row", key, *keep, "n_words"), spans.join(items.select("wording", "item").distinct(), "wording")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", every: int = 20,
+    item_text: str = "text", every: int = 20, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``key``, ``n_words``, ``n_hit``, ``items`` (sorted as text) and ``contaminated`` of every document.
+    """``key``, ``keep``, ``n_words``, ``n_hit``, ``items`` (sorted as text) and ``contaminated`` of every document.
 
     A word is hit inside any occurrence of a window; ``contaminated`` says that one word in ``every`` or more
     is hit, and at least one. Edge cases as in ``contaminated_spans``.
     """
-    counted, spans = contaminated_spans(docs, benchmark, key, text, item_key, item_text)
+    counted, spans = contaminated_spans(docs, benchmark, key, text, item_key, item_text, keep)
     ordered = Window.partitionBy("row").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = (
@@ -161,6 +164,14 @@ def contamination(
     items = spans.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return counted.join(hits.join(items, "row"), "row", "left").select(
-        key, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        key, *keep, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (every * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones. Edge cases as in ``contaminated_spans``."""
+    marked = docs.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn(
+        "_mark", F.coalesce(F.xxhash64(text), F.lit(0)))
+    gone = written(contamination(marked, benchmark, key, text, keep=["_id", "_mark"]).filter("contaminated").select("_id", "_mark"))
+    return without(marked, gone, ["_id", "_mark"]).select(*docs.columns)
