@@ -22,6 +22,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task passes to Python at a time, at most. Spark's own setting suits short rows; texts can be long.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to ``BATCH_ROWS`` rows (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def _byte_table(keep: Callable[[int], bool]) -> bytes:
     lowered = [b + 32 if 65 <= b <= 90 else b for b in range(256)]
     return bytes(b if keep(b) else 32 for b in lowered)
@@ -54,7 +67,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], list[tuple]],
                 if rows:
                     yield to_batch(rows, target)
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
@@ -198,7 +211,7 @@ def passing(df: DataFrame, hash_column: str, words: np.ndarray, wanted: bool = T
             if kept.num_rows:
                 yield kept
 
-    return df.mapInArrow(run, df.schema)
+    return short_batches(df).mapInArrow(run, df.schema)
 
 
 def without(docs: DataFrame, gone: DataFrame, columns: list[str], size: int = 1 << 23) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from corpaudit.llm.common import LETTERS_AND_DIGITS, arrow_map, as_bytes, values
+from corpaudit.llm.common import LETTERS_AND_DIGITS, arrow_map, as_bytes, short_batches, values
 
 #: Languages with a list of common words, by the code used in ``lang``.
 LANGUAGES = {"en": "english", "de": "german", "es": "spanish", "fr": "french"}
@@ -159,7 +159,7 @@ def language_references(
             {"language": code, "classes": list(classes), "words": list(words)} for code, (classes, words) in sums.items()
         ])
 
-    parts = docs.select(F.col(lang).cast("string").alias(lang), text).mapInArrow(run, _REFERENCE)
+    parts = short_batches(docs.select(F.col(lang).cast("string").alias(lang), text)).mapInArrow(run, _REFERENCE)
     flat = parts.select("language", F.posexplode(F.concat("classes", "words")).alias("place", "n"))
     rows = flat.groupBy("language", "place").agg(F.sum("n").alias("n")).collect()
     references = {code: np.zeros(len(CLASSES) + len(words) + 1) for code, words in lists.items()}

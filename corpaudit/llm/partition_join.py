@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import (
-    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing, to_batch, values, without,
+    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing, short_batches, to_batch, values, without,
     written,
 )
 from corpaudit.operators.components import connected_components
@@ -248,7 +248,7 @@ def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], per
         if pairs:
             yield to_batch(list(pairs), target)
 
-    return dealt.mapInArrow(run, _PAIR).distinct()
+    return short_batches(dealt).mapInArrow(run, _PAIR).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
