@@ -72,7 +72,8 @@ def allocated(number: int, low: int, high: int, rows: int, percent: int) -> Sche
     """The cheapest segments for a band: one-deletion neighbourhoods let segments be larger, so that fewer pairs agree
     by chance, but each gives a signature per element.
 
-    The cost is signatures of all rows plus expected chance pairs, a pair at ten times a signature. Sets meet by chance
+    The cost is signatures of all rows plus expected chance pairs, a pair (one comparison of bitmaps) at a hundredth of a
+    signature (a row that is hashed, shuffled and counted). Sets meet by chance
     where both have next to nothing in a segment: with a mean of ``k`` elements, exp(-2k) for exact segments and
     exp(-2k) * (1 + 2k) up to one deletion.
     """
@@ -83,7 +84,7 @@ def allocated(number: int, low: int, high: int, rows: int, percent: int) -> Sche
         mean = low / segments
         signatures = segments - deletions + deletions * (high / segments + 1)
         chance = math.exp(-2 * mean) * (segments - deletions + deletions * (1 + 2 * mean))
-        return rows * signatures + 10 * rows * rows / 2 * chance
+        return rows * signatures + rows * rows / 2 * chance / 100
 
     segments = min(range((needed + 1) // 2, needed + 1), key=cost)
     return Scheme(number, low, high, segments, needed - segments)
@@ -153,8 +154,10 @@ _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 
 
 def _counted(
-    docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme], keep: Sequence[str]
+    docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme], keep: Sequence[str] = (),
+    words: np.ndarray | None = None,
 ) -> DataFrame:
+    """Documents with their set's size, node, bitmap and signatures, of these only such as pass the filter ``words``."""
     lows = [s.low for s in schemes]
 
     def describe(data: bytes | None) -> tuple:
@@ -169,6 +172,8 @@ def _counted(
         node = xxhash.xxh3_64_intdigest(elements.tobytes())
         # where no difference is allowed, similar sets are equal, and equal sets are one node
         found = [signatures(elements, s) for s in used if s.segments + s.deletions > 1]
+        if words is not None:
+            found = [part[in_filter(words, part.view(np.uint64))] for part in found]
         return (
             n, node - (1 << 64) if node >> 63 else node, parity(elements, used[-1].bits),
             np.concatenate(found) if found else [],
@@ -180,23 +185,6 @@ def _counted(
     return arrow_map(docs.select(key, *keep, text), run, T.StructType([*(docs.schema[c] for c in (key, *keep)), *_COUNTED.fields]))
 
 
-def _filtered(wide: DataFrame, words: np.ndarray) -> DataFrame:
-    """``sig``, ``node`` of the signatures that pass a filter."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("node", T.LongType())])
-    target = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("signatures"))
-            nodes = batch.column(batch.schema.get_field_index("node")).fill_null(0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            kept = in_filter(words, flat.view(np.uint64))
-            owners = np.repeat(nodes, lists.value_lengths().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(owners[kept])], schema=target)
-
-    return short_batches(wide.select("signatures", "node")).mapInArrow(run, schema)
-
-
 def _grouped(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
     """Runs of rows with equal first three columns."""
     group, current = [], None
@@ -317,9 +305,9 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with their set's node, and the links that connect the nodes.
 
-    First: ``key``, ``keep``, ``n_shingles``, ``node`` (NULL without words), one row per document. Second: ``u``, ``v``, verified
-    links between different sets. Equal sets are one node; they are told apart by a 64-bit hash and joined by it and
-    their size. Elements are 64-bit hashes of the shingles' words.
+    First: ``key``, ``keep``, ``n_shingles``, ``node`` (NULL without words), one row per document. Second: ``u``, ``v``,
+    verified links between different sets. Equal sets are one node, told apart by a 64-bit hash of all their elements,
+    which are 64-bit hashes of the shingles' words.
 
     Links are looked for in two rounds over the same candidates: the first verifies a forest of each signature group,
     the second every pair that is still between different clusters. So large groups of near copies cost a few links per
@@ -330,14 +318,15 @@ def similar_sets(
     """
     schemes = _schemes(docs, text, percent)
     scratch = Scratch()
-    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep))
+    # Signatures are made twice, as most of them stand alone and needn't be kept.
+    every = _counted(docs, key, text, width, percent, schemes).select(F.explode("signatures").alias("hash"))
+    shared = scratch.written(every.groupBy("hash").count().filter("count > 1").select("hash"))
+    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep, hash_filter(shared, SIGNATURE_BITS)))
     counted = written(wide.select(key, *keep, "n_shingles", "node"))
     nodes = scratch.written(wide.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")
     ))
-    shared = wide.select(F.explode("signatures").alias("hash")).groupBy("hash").count().filter("count > 1").select("hash")
-    shared = scratch.written(shared)
-    spread = _filtered(wide, hash_filter(shared, SIGNATURE_BITS)).join(shared.withColumnRenamed("hash", "sig"), "sig")
+    spread = wide.select(F.explode("signatures").alias("sig"), "node").join(shared.withColumnRenamed("hash", "sig"), "sig")
     members = scratch.written(spread.distinct())
     plain = nodes.select("node", "n_shingles", "bitmap")
     forest = scratch.written(_near_pairs(members, plain.withColumn("cluster", F.col("node")), schemes, percent, forest=True))
