@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpaudit.functions.numbers import count_if, mean_if, ratio
-from corpaudit.functions.text import or_default, snippet
+from corpaudit.functions.text import normalise, or_default, snippet
 from corpaudit.operators.metrics import group_metrics
 from corpaudit.operators.profile import decode_label, long_form
 from corpaudit.operators.ranks import order_statistics
@@ -53,7 +53,7 @@ def error_reasons(most: int = 3) -> Column:
     title, description = F.col("title"), F.col("description")
     text = F.lower(F.concat_ws(" ", or_default(title), or_default(description)))
     suspicious = text.rlike("|".join(SUSPICIOUS_TERMS))
-    blank = lambda c: F.trim(or_default(c)) == ""
+    blank = lambda c: normalise(c) == ""
     rules = F.array_compact(
         F.array(
             F.when(suspicious, REASON_TERMS),

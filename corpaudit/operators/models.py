@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import warnings
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -23,7 +23,9 @@ LINEAR_SVM = "linear_svm"
 LOGISTIC = "logistic_regression"
 NAIVE_BAYES = "complement_naive_bayes"
 FOREST = "random_forest"
-ROWS_PER_TASK = 20_000
+# The studies' limits of solver passes. Fits are meant to end by tolerance.
+MAX_ITER = {LINEAR_SVM: 5000, LOGISTIC: 2000}
+TOLERANCE = 1e-5
 FeatureKey = tuple[str, int, str]
 
 
@@ -37,9 +39,13 @@ class ModelSpec:
     scaling: str = "std"
     smoothing: float = 1.0
     trees: int = 250
-    max_iter: int = 50
+    max_iter: int | None = None
     inverse_regularisation: float = 1.0
 
+    @property
+    def passes(self) -> int:
+        return self.max_iter if self.max_iter is not None else MAX_ITER.get(self.kind, 0)
+
     @property
     def threshold(self) -> float:
         """Where the estimator itself would flag: margins at 0, probabilities at one half."""
@@ -81,9 +87,13 @@ def _estimator(spec: ModelSpec, weight_sum: float, seed: int):
     # Spark ML averages the loss over the weights; the reference sums it and scales by C.
     penalty = 1.0 / (spec.inverse_regularisation * weight_sum)
     if spec.kind == LINEAR_SVM:
-        return LinearSVC(maxIter=spec.max_iter, regParam=penalty, standardization=False, threshold=0.0, **columns)
+        return LinearSVC(
+            maxIter=spec.passes, tol=TOLERANCE, regParam=penalty, standardization=False, threshold=0.0, **columns
+        )
     if spec.kind == LOGISTIC:
-        return LogisticRegression(maxIter=spec.max_iter, regParam=penalty, standardization=False, **columns)
+        return LogisticRegression(
+            maxIter=spec.passes, tol=TOLERANCE, regParam=penalty, standardization=False, **columns
+        )
     if spec.kind == NAIVE_BAYES:
         return NaiveBayes(modelType="complement", smoothing=spec.smoothing, featuresCol="features", labelCol="label")
     if spec.kind == FOREST:
@@ -100,6 +110,19 @@ class FittedModel:
     model: object
     constant: float = 0.0
 
+    @property
+    def objectives(self) -> list[float]:
+        """The objective after every pass of an iterative solver."""
+        if self.spec.kind not in MAX_ITER or self.model is None:
+            return []
+        summary = self.model.summary() if self.spec.kind == LINEAR_SVM else self.model.summary
+        return list(summary.objectiveHistory)
+
+    @property
+    def converged(self) -> bool:
+        """Whether the solver ended by tolerance, below its limit of passes."""
+        return self.spec.kind not in MAX_ITER or len(self.objectives) - 1 < self.spec.passes
+
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` and ``score``: margin of linear models, else probability of the positive class."""
         if self.features is None:
@@ -131,9 +154,10 @@ def _fit_vectors(spec: ModelSpec, features: FittedFeatures | None, vectors: Data
     if spec.kind == MAJORITY:
         return FittedModel(spec, features, None, float(majority_class(vectors).first()["majority_label"]))
     weighted, weight_sum = _weighted(vectors, spec.balanced)
-    # The weights add up to the number of rows. Few rows need few tasks per pass of the solver.
-    few = max(1, math.ceil(weight_sum / ROWS_PER_TASK))
-    return FittedModel(spec, features, _estimator(spec, weight_sum, seed).fit(weighted.coalesce(few)))
+    fitted = FittedModel(spec, features, _estimator(spec, weight_sum, seed).fit(weighted))
+    if not fitted.converged:
+        warnings.warn(f"{spec.name}: stopped at {spec.passes} passes before it reached its tolerance", stacklevel=2)
+    return fitted
 
 
 def fit(spec: ModelSpec, train: DataFrame, seed: int = 42) -> FittedModel:
@@ -146,7 +170,8 @@ def fit(spec: ModelSpec, train: DataFrame, seed: int = 42) -> FittedModel:
 
 def _feature_table(features: FittedFeatures, train: DataFrame) -> DataFrame:
     """Training vectors written once: every pass of a solver ships its plan, so the plan is kept short."""
-    return checkpointed(features.transform(train).select("label", "features"))
+    labelled = train.filter(F.col("label").isNotNull())
+    return checkpointed(features.transform(labelled).select("label", "features"))
 
 
 def fit_and_score(

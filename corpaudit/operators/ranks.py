@@ -58,7 +58,8 @@ def prefix_sums(
     by = list(by)
     scores = scores.select(*by, F.col(score).cast("double").alias(score), label)
     cuts = value_buckets(scores, score) if cuts is None else cuts
-    distinct = scores.groupBy(*by, score).agg(
+    # Rows without a label are neither positives nor negatives.
+    distinct = scores.filter(F.col(label).isNotNull()).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     )
     bucketed = with_bucket(distinct, score, cuts)

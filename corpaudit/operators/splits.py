@@ -21,12 +21,13 @@ SIDES = ("train", "test")
 
 
 def _side(in_test: Column) -> Column:
+    """A condition that can't be told (a NULL label has no cutoff) keeps the row in training."""
     return F.when(in_test, SIDES[1]).otherwise(SIDES[0])
 
 
 def class_quotas(df: DataFrame, label: str, share: float = TEST_SHARE) -> DataFrame:
     """Test rows per class: ``ceil(share * n)`` in all, by largest remainder, ties to the smaller label."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per class.
     everything = Window.partitionBy()
     sized = counts.withColumn("_all", F.sum("_rows").over(everything)).withColumn(
@@ -42,33 +43,39 @@ def class_quotas(df: DataFrame, label: str, share: float = TEST_SHARE) -> DataFr
 def stratified_split(
     df: DataFrame, key: str, label: str, seeds: Sequence[int], share: float = TEST_SHARE
 ) -> DataFrame:
-    """``df`` once per seed, with ``seed`` and ``part``: exact class sizes on both sides."""
+    """``df`` once per seed, with ``seed`` and ``part``: exact class sizes on both sides. Rows without a label train."""
     runs = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     hashed = runs.withColumn("_hash", seeded_hash(F.col("seed"), F.col(key)))
     cutoffs = _by_class(hashed, label, ["seed"], class_quotas(df, label, share))
     # One row per seed and class.
-    marked = hashed.join(F.broadcast(cutoffs), ["seed", label])
+    marked = hashed.join(F.broadcast(cutoffs), ["seed", label], "left")
     return marked.withColumn("part", _side(F.col("_hash") <= F.col("cutoff"))).select(*df.columns, "seed", "part")
 
 
 def _by_class(hashed: DataFrame, label: str, extra_strata: list[str], quotas: DataFrame) -> DataFrame:
     strata = [*extra_strata, label]
-    slim = hashed.select(*strata, "_hash")
+    slim = hashed.filter(F.col(label).isNotNull()).select(*strata, "_hash")
     keys = slim.select(*strata).distinct()
     return rank_cutoffs(slim, strata, "_hash", F.col("_test_rows"), keys.join(F.broadcast(quotas), label))
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold`` 0 .. folds-1; within a class fold sizes differ by one row at most."""
+    """``df`` with ``fold`` 0 .. folds-1; within a class fold sizes differ by one row at most.
+
+    Rows without a label get fold -1: no fold holds them out.
+    """
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
     ends = F.col("_total")
-    inner = hashed.select(label, "_hash").withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(folds - 1)])))
+    labelled = hashed.filter(F.col(label).isNotNull())
+    inner = labelled.select(label, "_hash").withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(folds - 1)])))
     end_of_fold = (F.col("fold") + 1) * F.floor(ends / folds) + F.least(F.col("fold") + 1, ends % folds)
     cutoffs = rank_cutoffs(inner, [label, "fold"], "_hash", end_of_fold)
     # folds - 1 ends per class, one row per class
     per_class = cutoffs.groupBy(label).agg(F.collect_list("cutoff").alias("_ends"))
-    passed = F.size(F.filter("_ends", lambda end: end < F.col("_hash")))
-    return hashed.join(F.broadcast(per_class), label).withColumn("fold", passed).select(*df.columns, "fold")
+    passed = F.when(F.col(label).isNull(), -1).otherwise(
+        F.coalesce(F.size(F.filter("_ends", lambda end: end < F.col("_hash"))), F.lit(0))
+    )
+    return hashed.join(F.broadcast(per_class), label, "left").withColumn("fold", passed).select(*df.columns, "fold")
 
 
 def group_table(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -128,17 +135,25 @@ def best_candidate(
 def group_split(
     df: DataFrame, group: str, label: str, seed: int, candidates: int = 1, share: float = TEST_SHARE
 ) -> DataFrame:
-    """``df`` with ``part``; no group is on both sides. With several candidates, the best of them."""
+    """``df`` with ``part``; no group is on both sides. With several candidates, the best of them.
+
+    Raises if no candidate has positives on both sides. The driver gets the chosen cutoff, one row.
+    """
     # Three passes read the groups; the texts behind their keys are read once.
     groups = group_table(df, group, label).persist()
     if candidates == 1:
         chosen = group_cutoffs(groups, group, seed, 1, share)
     else:
         chosen = best_candidate(groups, group, seed, candidates, share).select("candidate", "cutoff")
-    # One row.
-    marked = df.crossJoin(F.broadcast(chosen))
-    hashed = seeded_hash(seed, F.col("candidate"), F.col(group))
-    return marked.withColumn("part", _side(hashed <= F.col("cutoff"))).select(*df.columns, "part")
+    best = chosen.first()
+    empty = best is None and groups.isEmpty()
+    groups.unpersist()
+    if empty:
+        return df.withColumn("part", F.lit(SIDES[0]))
+    if best is None:
+        raise ValueError(f"none of {candidates} splits by {group} has positives of {label} on both sides")
+    hashed = seeded_hash(seed, F.lit(best["candidate"]), F.col(group))
+    return df.withColumn("part", _side(hashed <= F.lit(best["cutoff"])))
 
 
 def order_split(df: DataFrame, key: str, train_share: float = 1 - TEST_SHARE) -> DataFrame:

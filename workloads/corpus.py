@@ -344,8 +344,8 @@ ORACLES = {
     "error_reasons": f"""WITH {PREPARED}, r AS (SELECT job_id, list_filter([
           CASE WHEN regexp_matches(lower(title || ' ' || description), 'money|earn|link|click|home|remote')
             THEN 'contains terms that may resemble scam or remote-work language' END,
-          CASE WHEN trim(company_profile, ' ') = '' THEN 'missing company profile' END,
-          CASE WHEN trim(requirements, ' ') = '' THEN 'missing requirements text' END,
+          CASE WHEN {sql_normalised('company_profile')} = '' THEN 'missing company profile' END,
+          CASE WHEN {sql_normalised('requirements')} = '' THEN 'missing requirements text' END,
           CASE WHEN length(description) < 400 THEN 'short description' END,
           CASE WHEN has_company_logo = 0 THEN 'no company logo' END], lambda x: x IS NOT NULL) AS l FROM prepared)
         SELECT job_id, CASE WHEN len(l) = 0 THEN 'likely reflects subtler text or category patterns learned by the model'

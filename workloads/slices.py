@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpaudit.operators import counterfactual, errors
 from corpaudit.plans.studies import CONTRAST_FEATURES, PROFILE_MEANS, SUBGROUP_FEATURES
 from corpaudit.roles import POSTING_ROLES
-from workloads.views import BLANK, PREPARED, SCORED, TEXTS, postings, rounded, scored_postings, sql_combined, sql_words
+from workloads.views import BLANK, PREPARED, SCORED, TEXTS, postings, rounded, scored_postings, sql_combined, sql_normalised, sql_words
 
 LENGTHS = tuple(f"{c}_length" for c in TEXTS)
 BINARY = POSTING_ROLES.binary
@@ -158,11 +158,11 @@ BUCKETS = """, long AS (""" + union_columns(
 ), bucketed AS (
   SELECT long.*, len(list_filter(e[2:-2], lambda b: b < x)) AS length_bucket FROM long JOIN edges USING (text_field) WHERE len(e) >= 2
 )"""
-REASONS = """list_filter([
+REASONS = f"""list_filter([
   CASE WHEN regexp_matches(lower(title || ' ' || description), 'money|earn|link|click|home|remote')
     THEN 'contains terms that may resemble scam or remote-work language' END,
-  CASE WHEN trim(company_profile, ' ') = '' THEN 'missing company profile' END,
-  CASE WHEN trim(requirements, ' ') = '' THEN 'missing requirements text' END,
+  CASE WHEN {sql_normalised('company_profile')} = '' THEN 'missing company profile' END,
+  CASE WHEN {sql_normalised('requirements')} = '' THEN 'missing requirements text' END,
   CASE WHEN length(description) < 400 THEN 'short description' END,
   CASE WHEN has_company_logo = 0 THEN 'no company logo' END], lambda x: x IS NOT NULL)"""
 REASON = f"""CASE WHEN len({REASONS}) = 0 THEN 'likely reflects subtler text or category patterns learned by the model'
