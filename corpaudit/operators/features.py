@@ -67,7 +67,8 @@ def _imputed(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 def _scales(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, float]:
     measure = {
         "maxabs": lambda c: F.max(F.abs(F.col(c))),
-        "std": lambda c: F.stddev_pop(F.col(c).cast("double")),
+        # Partial deviations of a constant need not merge to exactly 0.
+        "std": lambda c: F.when(F.min(c) < F.max(c), F.stddev_pop(F.col(c).cast("double"))),
     }[method]
     row = df.agg(*[measure(c).alias(c) for c in columns]).first()
     # A constant column is left as it is.
