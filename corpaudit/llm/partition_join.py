@@ -33,6 +33,8 @@ BLOCK = 512
 #: Full filters let more rows through to the joins, which decide.
 FILTER_BITS = 1 << 23
 SIGNATURE_BITS = 1 << 25
+#: Signatures that a task packs together, and that a bucket of the count holds, about.
+PACKED = 1 << 20
 _HASHES = WordHashes()
 
 
@@ -126,13 +128,13 @@ def _folded(bitmap: bytes, bits: int) -> np.ndarray:
     return words
 
 
-def _schemes(docs: DataFrame, text: str, percent: int) -> list[Scheme]:
-    """Schemes allocated by how many texts have about a band's size, by their word counts; a handful of rows come to
-    the driver. The counts decide costs alone, never which pairs are found."""
+def _schemes(docs: DataFrame, text: str, percent: int) -> tuple[list[Scheme], int]:
+    """Schemes allocated by how many texts have about a band's size, by their word counts, and all words' number; a
+    handful of rows come to the driver. The counts decide costs alone, never which pairs are found."""
     words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     step = F.floor(F.log(F.greatest(words, F.lit(1)).cast("double")) / math.log(BAND)).cast("int")
     found = docs.select(step.alias("step"), words.alias("n")).groupBy("step").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")
+        F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.sum("n").alias("words")
     ).collect()
     largest = max((r["most"] for r in found), default=1)
     rows = {r["step"]: r["rows"] for r in found}
@@ -143,7 +145,90 @@ def _schemes(docs: DataFrame, text: str, percent: int) -> list[Scheme]:
         schemes.append(allocated(number, low, high, near, percent))
     if len(schemes) > 256:
         raise ValueError("more bands than a signature can number")
-    return schemes
+    return schemes, sum(r["words"] for r in found)
+
+
+def node_of(elements: np.ndarray) -> int:
+    """A set's node: a hash of all its elements."""
+    node = xxhash.xxh3_64_intdigest(elements.tobytes())
+    return node - (1 << 64) if node >> 63 else node
+
+
+def used_schemes(n: int, schemes: list[Scheme], percent: int) -> list[Scheme]:
+    """The scheme of a size's own band, and the next one's if a set there can be similar."""
+    own = schemes[np.searchsorted([s.low for s in schemes], n, side="right") - 1]
+    return [own, schemes[own.number + 1]] if n * 100 >= percent * (own.high + 1) else [own]
+
+
+def set_signatures(elements: np.ndarray, used: list[Scheme]) -> np.ndarray:
+    """All signatures of a set; none where no difference is allowed, as similar sets are equal there, so one node."""
+    found = [signatures(elements, s) for s in used if s.segments + s.deletions > 1]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+#: Bits of a signature's hash that a pack holds; the bits above them are its bucket.
+CELL_BITS = 40
+
+
+def cells_of(found: np.ndarray, bits: int) -> np.ndarray:
+    """The top ``bits`` of the signatures' hashes, by which they are counted and filtered."""
+    return mixed_bits(found.view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def packs(cells: np.ndarray) -> list[tuple[int, bytes]]:
+    """Buckets and their sorted cells as 5 bytes each; what comes several times stands twice, which tells all."""
+    kept, counts = np.unique(cells, return_counts=True)
+    kept = np.repeat(kept, np.minimum(counts, 2))
+    buckets = (kept >> np.uint64(CELL_BITS)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    raw = kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BITS // 8]
+    return [(int(buckets[a]), raw[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(kept)))]
+
+
+def shared_cells(bucket: int, found: list[bytes]) -> np.ndarray:
+    """The cells that come twice or more in a bucket's packs."""
+    raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, CELL_BITS // 8)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :CELL_BITS // 8] = raw
+    cells, counts = np.unique(whole.view("<u8").ravel(), return_counts=True)
+    return cells[counts > 1] | np.uint64(bucket) << np.uint64(CELL_BITS)
+
+
+def _shared_filter(
+    docs: DataFrame, text: str, width: int, percent: int, schemes: list[Scheme], words: int
+) -> tuple[np.ndarray, int]:
+    """A filter that every signature of two nodes or more passes, and the bits of a cell it is asked for.
+
+    Signatures are many and most stand alone, so they are counted in packs: tasks drop copies of sets and of signatures
+    that they saw, sort the rest into buckets by their top bits and ship 5 bytes of each. There are as many buckets as
+    keep one at about ``PACKED`` signatures. Signatures with equal cells only let more rows through.
+    """
+    bits = CELL_BITS + min(24, max(8, math.ceil(math.log2(max(words, 1) / PACKED))))
+    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("pack", T.BinaryType())])
+    target = to_arrow_schema(out)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, seen = [], 0, set()
+        for batch in batches:
+            for data in batch.column(0).cast(pa.binary()):
+                elements = shingle_set(data.as_py(), width)
+                if not len(elements) or (node := node_of(elements)) in seen:
+                    continue
+                seen.add(node)
+                found.append(cells_of(set_signatures(elements, used_schemes(len(elements), schemes, percent)), bits))
+                held += len(found[-1])
+                if held >= PACKED or len(seen) >= PACKED:
+                    yield to_batch(packs(np.concatenate(found)), target)
+                    found, held, seen = [], 0, set()
+        if held:
+            yield to_batch(packs(np.concatenate(found)), target)
+
+    def unpack(table: pa.Table) -> pa.Table:
+        cells = shared_cells(table.column("bucket")[0].as_py(), table.column("pack").to_pylist())
+        return pa.table({"hash": pa.array(mixed_bits(cells).view(np.int64), pa.int64())})
+
+    made = short_batches(docs.select(text)).mapInArrow(pack, out)
+    return hash_filter(made.groupBy("bucket").applyInArrow(unpack, "hash long"), SIGNATURE_BITS), bits
 
 
 _COUNTED = T.StructType([
@@ -154,30 +239,19 @@ _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 
 
 def _counted(
-    docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme], keep: Sequence[str] = (),
-    words: np.ndarray | None = None,
+    docs: DataFrame, key: str, text: str, width: int, percent: int, schemes: list[Scheme], keep: Sequence[str],
+    words: np.ndarray, bits: int,
 ) -> DataFrame:
-    """Documents with their set's size, node, bitmap and signatures, of these only such as pass the filter ``words``."""
-    lows = [s.low for s in schemes]
-
+    """Documents with their set's size, node, bitmap and such signatures as pass the filter ``words``."""
     def describe(data: bytes | None) -> tuple:
         elements = shingle_set(data, width)
         n = len(elements)
         if not n:
             return 0, None, None, []
-        own = schemes[np.searchsorted(lows, n, side="right") - 1]
-        used = [own]
-        if n * 100 >= percent * (own.high + 1):  # a larger set of the next band can be similar
-            used.append(schemes[own.number + 1])
-        node = xxhash.xxh3_64_intdigest(elements.tobytes())
-        # where no difference is allowed, similar sets are equal, and equal sets are one node
-        found = [signatures(elements, s) for s in used if s.segments + s.deletions > 1]
-        if words is not None:
-            found = [part[in_filter(words, part.view(np.uint64))] for part in found]
-        return (
-            n, node - (1 << 64) if node >> 63 else node, parity(elements, used[-1].bits),
-            np.concatenate(found) if found else [],
-        )
+        used = used_schemes(n, schemes, percent)
+        found = set_signatures(elements, used)
+        found = found[in_filter(words, mixed_bits(cells_of(found, bits)))]
+        return n, node_of(elements), parity(elements, used[-1].bits), found
 
     def run(batch: pa.RecordBatch) -> list[tuple]:
         return [(*own, *describe(data)) for *own, data in zip(*(values(batch, c) for c in (key, *keep)), as_bytes(batch, text))]
@@ -276,8 +350,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
             if passed:
                 elements = shingle_set(data, width)
                 if len(elements):
-                    node = xxhash.xxh3_64_intdigest(elements.tobytes())
-                    rows.append((node - (1 << 64) if node >> 63 else node, elements.tobytes()))
+                    rows.append((node_of(elements), elements.tobytes()))
         return rows
 
     made = arrow_map(
@@ -316,18 +389,17 @@ def similar_sets(
     NULL and empty texts have an empty set and no node. Repeated rows and NULL keys stay rows of their own. An empty
     table gives no rows; other columns are not read.
     """
-    schemes = _schemes(docs, text, percent)
+    schemes, words = _schemes(docs, text, percent)
     scratch = Scratch()
     # Signatures are made twice, as most of them stand alone and needn't be kept.
-    every = _counted(docs, key, text, width, percent, schemes).select(F.explode("signatures").alias("hash"))
-    shared = scratch.written(every.groupBy("hash").count().filter("count > 1").select("hash"))
-    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep, hash_filter(shared, SIGNATURE_BITS)))
+    shared, bits = _shared_filter(docs, text, width, percent, schemes, words)
+    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep, shared, bits))
     counted = written(wide.select(key, *keep, "n_shingles", "node"))
     nodes = scratch.written(wide.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")
+        F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"),
+        F.first("signatures").alias("signatures"),
     ))
-    spread = wide.select(F.explode("signatures").alias("sig"), "node").join(shared.withColumnRenamed("hash", "sig"), "sig")
-    members = scratch.written(spread.distinct())
+    members = nodes.select(F.explode("signatures").alias("sig"), "node")
     plain = nodes.select("node", "n_shingles", "bitmap")
     forest = scratch.written(_near_pairs(members, plain.withColumn("cluster", F.col("node")), schemes, percent, forest=True))
     links = _verified(forest, nodes, docs, key, text, width, percent)
