@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpaudit.llm import chat, divergence, licenses, mixing, partition_join, secrets, suffix_dedup, tokencounts, toxicity, winnowing
+from corpaudit.llm import (
+    chat, divergence, licenses, merkle, mixing, partition_join, secrets, suffix_dedup, tokencounts, toxicity, winnowing,
+)
 from corpaudit.llm.common import read
 
 QUERIES: dict = {}
@@ -115,6 +117,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    made = merkle.manifest(
+        read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+        changes={"text": F.translate("text", _UPPER, _LOWER)}, changed=tampered,
+    )
+    return made.folded()
+
+
 _PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op10_winnowing"] = f"""
 WITH d AS (
@@ -142,3 +157,61 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
+
+#: crc32 bit by bit: each character of the decimal number is mixed in, then eight steps follow.
+_CRC = """
+  xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END),
+  4294967295)"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format(_FIELD.format(_PLAIN.format("text")))} END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM d),
+up AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1
+  GROUP BY tree, lvl, pos // 16, n),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+higher AS (
+  SELECT 0 AS lvl, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM higher WHERE n > 1
+  GROUP BY lvl, pos // 16, n),
+nodes AS (
+  SELECT tree, lvl, pos, h FROM up WHERE n > 1
+  UNION ALL SELECT NULL, lvl + 1000, pos, h FROM higher WHERE n > 1),
+runs AS (SELECT tree, lvl, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY tree, lvl, pos // 16),
+heights AS (SELECT tree, max(lvl) AS height FROM up GROUP BY tree),
+tops AS (SELECT max(lvl) AS height FROM higher),
+steps AS (
+  SELECT l.tree, l.pos, r.lvl, r.hs, (l.pos // CAST(power(16, r.lvl) AS BIGINT)) % 16 AS slot
+  FROM leaves l JOIN runs r ON r.tree = l.tree AND r.run = l.pos // CAST(power(16, r.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.tree, l.pos, r.lvl, r.hs, (s.pos // CAST(power(16, r.lvl - 1000) AS BIGINT)) % 16
+  FROM leaves l JOIN subroots s ON s.tree = l.tree
+  JOIN runs r ON r.tree IS NULL AND r.run = s.pos // CAST(power(16, r.lvl - 999) AS BIGINT)),
+paths AS (
+  SELECT tree, pos, list({{'hs': hs, 'slot': slot}} ORDER BY lvl) AS path,
+    string_agg(array_to_string(hs[:slot] || hs[slot + 2:], ''), '' ORDER BY lvl) AS others
+  FROM steps GROUP BY tree, pos),
+folds AS (
+  SELECT l.tree, l.pos, 1 AS depth, coalesce(changed, leaf) AS h, path FROM leaves l LEFT JOIN paths USING (tree, pos)
+  UNION ALL
+  SELECT tree, pos, depth + 1,
+    sha256(array_to_string(path[depth].hs[:path[depth].slot] || [h] || path[depth].hs[path[depth].slot + 2:], '')), path
+  FROM folds WHERE depth <= len(coalesce(path, [])))
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(p.others, '')) AS proof_sha256, f.h AS folded_root,
+  f.h = r.h AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN higher r ON r.n = 1
+LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
+JOIN folds f ON f.tree = l.tree AND f.pos = l.pos AND f.depth = len(coalesce(p.path, [])) + 1
+"""
