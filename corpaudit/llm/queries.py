@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpaudit.llm import (
-    chat, divergence, licenses, merkle, mixing, partition_join, secrets, suffix_dedup, tokencounts, toxicity, winnowing,
+    chat, divergence, licenses, merkle, mixing, partition_join, phrases, secrets, suffix_dedup, tokencounts, toxicity,
+    winnowing,
 )
 from corpaudit.llm.common import read
 
@@ -130,6 +131,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.folded()
 
 
+@query
+def op12_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 _PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op10_winnowing"] = f"""
 WITH d AS (
@@ -215,3 +221,33 @@ FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN higher r ON r.n = 1
 LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
 JOIN folds f ON f.tree = l.tree AND f.pos = l.pos AND f.depth = len(coalesce(p.path, [])) + 1
 """
+
+ORACLES["op12_son_phrases"] = f"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_PLAIN.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM pieces, unnest(range(1, 6)) AS ks(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, k AS words, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM counts WHERE k > 1),
+scores AS (
+  SELECT c.lang, c.phrase, words, a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+worst AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (
+  SELECT c.lang, c.f, array_to_string(w[p:p + len - 1], ' ') AS phrase
+  FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w FROM counts WHERE k > 2) c, unnest(range(2, 5)) AS ls(len), unnest(range(1, 5)) AS ps(p)
+  WHERE len < k AND p + len - 1 <= k),
+kept AS (
+  SELECT * FROM worst WHERE NOT EXISTS (
+    SELECT 1 FROM parts WHERE parts.lang = worst.lang AND parts.phrase = worst.phrase AND 100 * parts.f >= 100 * worst.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
