@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpaudit.llm import (
-    chat, divergence, licenses, merkle, mixing, partition_join, phrases, secrets, suffix_dedup, tokencounts, toxicity,
-    winnowing,
+    chat, divergence, licenses, merkle, mixing, partition_join, passages, phrases, secrets, suffix_dedup, tokencounts,
+    toxicity, winnowing,
 )
 from corpaudit.llm.common import read
 
@@ -136,6 +136,17 @@ def op12_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+@query
+def op13_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
+    model = passages.train(docs, read(spark, sf_dir, "labels"), learn=part != 1)
+    return passages.quality_scores(docs, model).select(
+        "doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_passages", "heaviest",
+    )
+
+
 _PLAIN = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op10_winnowing"] = f"""
 WITH d AS (
