@@ -1,26 +1,34 @@
 """Collocations by partitioned mining: shards are mined completely at lowered support, what is frequent in any of them is
 counted in all of them.
 
-A phrase that stands ``support`` times among a language's ``N`` words stands at least ``support * m / N`` times in some
-shard with ``m`` of these words. So the union over the shards of what reaches that share holds every frequent phrase, and
-counting that union once more over everything gives exact numbers.
+A phrase that stands ``support`` times in all of ``S`` shards stands ``support / S`` times in some shard at least. So the
+union over the shards of what reaches that share holds every frequent phrase, and counting that union once more over
+everything gives exact numbers. A shard is as many tasks' rows as its share of the corpus takes; it is mined by length:
+pairs of frequent words first, then whatever is made of locally frequent pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import Scratch, WordHashes, as_bytes, hash_filter, in_filter, mixed_bits, short_batches, to_batch, values
 
-#: Words of a shard, about: a task mines its rows in runs of so many, which bounds its memory.
-SHARD_WORDS = 6_000_000
+#: Shards that the corpus is cut into, however large it is: local support is ``support / SHARDS``. With a shard per task,
+#: local support would fall to one as the corpus grows, and every phrase would be a candidate.
+SHARDS = 8
+#: Words that a task counts at a time, about, which bounds its memory.
+RUN_WORDS = 6_000_000
+#: Bits of a phrase's hash that a pack holds; the bits above them are its bucket. Phrases of a bucket and shard, about.
+CELL_BITS, PACKED = 40, 1 << 20
 #: Bits of the filters that tasks get: at least and at most. Filters spare work; counts decide.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: The language of texts without one.
@@ -131,9 +139,8 @@ def _levels(numbers: np.ndarray, longest: int, frequent) -> Iterator[tuple[int,
 
 @dataclass(frozen=True)
 class _Words:
-    """What mining needs to know of the words: each language's number of them, and a filter of the frequent ones."""
+    """What mining needs to know of the words: a filter of the frequent ones."""
 
-    totals: dict[str, int]
     filter: np.ndarray
 
 
@@ -154,7 +161,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards in _shards(batches, SHARD_WORDS):
+        for shards in _shards(batches, RUN_WORDS):
             for lang, shard in shards.items():
                 numbers, words = shard.numbers()
                 counts = np.bincount(numbers, minlength=len(words)).tolist()
@@ -165,47 +172,95 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
-def _locally_frequent(texts: DataFrame, known, support: int, longest: int) -> DataFrame:
-    """``hash`` of every phrase of two words or more that is frequent in some shard, at the shard's share of ``support``."""
-    schema = T.StructType([T.StructField("hash", T.LongType())])
-    target = to_arrow_schema(schema)
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The top ``bits`` of hashes, by which phrases are counted in a shard and asked for in filters."""
+    return hashes >> np.uint64(64 - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, frequent_words = known.value.totals, known.value.filter
-        for shards in _shards(batches, SHARD_WORDS):
-            for lang, shard in shards.items():
-                numbers, words = shard.numbers()
-                hashes = _hashes(words, lang)
-                total, own = totals[lang], int(np.count_nonzero(numbers))
-                least = -(-support * own // total)
 
-                def frequent(length: int, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-                    if length == 1:
-                        return (counts >= least) & in_filter(frequent_words, hashes[numbers[places]])
-                    return counts >= least
+def _packed(cells: np.ndarray, most: int) -> list[tuple[int, bytes, bytes]]:
+    """Buckets with their distinct cells, 5 bytes each, and how often each stands, ``most`` at most."""
+    kept, counts = np.unique(cells, return_counts=True)
+    buckets = (kept >> np.uint64(CELL_BITS)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    raw = kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BITS // 8]
+    counts = np.minimum(counts, most).astype(np.uint8 if most < 256 else np.uint32)
+    return [(int(buckets[a]), raw[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(kept)))]
 
-                for length, places, _ in _levels(numbers, longest, frequent):
-                    if length > 1 and len(places):
-                        found = _phrase_hashes(hashes, numbers, places, length).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(found)], schema=target)
 
-    return short_batches(texts).mapInArrow(run, schema)
+def _frequent_cells(bucket: int, cells: list[bytes], counts: list[bytes], least: int) -> np.ndarray:
+    """The cells of a shard's bucket that stand ``least`` times or more in all its packs."""
+    raw = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELL_BITS // 8)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :CELL_BITS // 8] = raw
+    found, inverse = np.unique(whole.view("<u8").ravel(), return_inverse=True)
+    sums = np.bincount(inverse, np.frombuffer(b"".join(counts), np.uint8 if least < 256 else np.uint32), len(found))
+    return found[sums >= least] | np.uint64(bucket) << np.uint64(CELL_BITS)
 
 
-def _counted(texts: DataFrame, known, candidates, longest: int) -> DataFrame:
+def _pairs(hashes: np.ndarray, numbers: np.ndarray, known: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent words follow each other in a piece, and the pair's hash at every place."""
+    stay = in_filter(known.filter, hashes)
+    stay[0] = False
+    at, own = stay[numbers], hashes[numbers]
+    return at[:-1] & at[1:], _chained(own[:-1], own[1:])
+
+
+def _locally_frequent(texts: DataFrame, known, least: int, longest: int, bits: int, pairs=None) -> DataFrame:
+    """``hash`` of the cells that stand ``least`` times or more in some shard: of pairs of frequent words, or with the filter
+    ``pairs`` of all longer phrases whose pairs all pass it.
+
+    A task's rows all belong to one of ``SHARDS`` shards; what it finds is counted in the task, and shipped as packs of
+    cells to the task that holds a range of the shard's cells.
+    """
+    out = T.StructType([
+        T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
+        T.StructField("cells", T.BinaryType()), T.StructField("counts", T.BinaryType()),
+    ])
+    target = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() % SHARDS
+        for shards in _shards(batches, RUN_WORDS):
+            for lang, run_of in shards.items():
+                numbers, words = run_of.numbers()
+                hashes = _hashes(words, lang)
+                there, chained = _pairs(hashes, numbers, known.value)
+                if pairs is None:
+                    found = _cells(chained[there], bits)
+                else:
+                    linked = there.copy()
+                    linked[there] = in_filter(pairs.value, mixed_bits(_cells(chained[there], bits)))
+                    found, own, at = [], hashes[numbers], linked
+                    for length in range(3, longest + 1):
+                        at = at[:-1] & linked[length - 2:]
+                        chained = _chained(chained[:-1], own[length - 1:])
+                        found.append(_cells(chained[at], bits))
+                    found = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                if len(found):
+                    yield to_batch([(shard, *row) for row in _packed(found, least)], target)
+
+    def frequent(table: pa.Table) -> pa.Table:
+        cells = _frequent_cells(table.column("bucket")[0].as_py(), table.column("cells").to_pylist(), table.column("counts").to_pylist(), least)
+        return pa.table({"hash": pa.array(mixed_bits(cells).view(np.int64), pa.int64())})
+
+    return short_batches(texts).mapInArrow(run, out).groupBy("shard", "bucket").applyInArrow(frequent, "hash long")
+
+
+def _counted(texts: DataFrame, known, candidates, longest: int, bits: int) -> DataFrame:
     """``lang``, ``phrase``, ``f`` of all phrases of two words or more that pass the candidates' filter, in all texts."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.BinaryType()), T.StructField("f", T.LongType())])
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_words, wanted = known.value.filter, candidates.value
-        for shards in _shards(batches, SHARD_WORDS):
+        for shards in _shards(batches, RUN_WORDS):
             for lang, shard in shards.items():
                 numbers, words = shard.numbers()
                 hashes = _hashes(words, lang)
 
                 def frequent(length: int, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-                    return in_filter(frequent_words if length == 1 else wanted, _phrase_hashes(hashes, numbers, places, length))
+                    found = _phrase_hashes(hashes, numbers, places, length)
+                    return in_filter(frequent_words, found) if length == 1 else in_filter(wanted, mixed_bits(_cells(found, bits)))
 
                 for length, places, counts in _levels(numbers, longest, frequent):
                     if length == 1:
@@ -230,7 +285,7 @@ def frequent_phrases(
     The driver gets a number per language and filters of bounded size. Candidates are told apart by their words when
     they are counted, so hashes that collide only make more of them.
     """
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     words = scratch.written(word_counts(texts))
     totals = scratch.written(words.groupBy("lang").agg(F.sum("f").alias("n")))
@@ -244,15 +299,20 @@ def frequent_phrases(
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["hash"])
 
     kept = short_batches(frequent.select("lang", "phrase")).mapInArrow(hashed, "hash long")
-    known = spark.sparkContext.broadcast(
-        _Words({r["lang"]: r["n"] for r in totals.collect()}, hash_filter(kept, _bits(frequent.count()))))
-    local = scratch.written(_locally_frequent(texts, known, support, longest).distinct())
-    candidates = spark.sparkContext.broadcast(hash_filter(local, _bits(local.count())))
-    phrases = _counted(texts, known, candidates, longest).filter(F.col("f") >= support)
+    known = share(_Words(hash_filter(kept, _bits(frequent.count()))))
+    every = totals.agg(F.sum("n")).first()[0] or 0
+    bits = CELL_BITS + min(24, max(2, math.ceil(math.log2(max(1, every) / SHARDS / PACKED))))
+    least = -(-support // SHARDS)
+    local = scratch.written(_locally_frequent(texts, known, least, min(2, longest), bits).distinct())
+    pairs = share(hash_filter(local, _bits(local.count())))
+    if longest > 2:
+        local = local.unionByName(scratch.written(_locally_frequent(texts, known, least, longest, bits, pairs).distinct()))
+    candidates = share(hash_filter(local, _bits(local.count())))
+    phrases = _counted(texts, known, candidates, longest, bits).filter(F.col("f") >= support)
     whole = frequent.withColumn("words", F.lit(1)).unionByName(phrases.withColumn("words", F.size(F.split("phrase", " "))))
     found = scratch.written(whole.select("lang", "phrase", "words", "f"))
-    known.destroy()
-    candidates.destroy()
+    for shared in (known, pairs, candidates):
+        shared.destroy()
     return found, totals
 
 
