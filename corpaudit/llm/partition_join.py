@@ -27,8 +27,13 @@ from corpaudit.operators.components import connected_components
 
 #: Sizes of one band differ by about this factor; by more where similar sets can, so that they are neighbours at most.
 BAND = 1.2
-#: Nodes of a signature that one task compares with each other; larger groups are split into pairs of blocks.
-BLOCK = 512
+#: Nodes of a signature that one task compares with each other, and bits of their bitmaps, at most; larger groups are split
+#: into pairs of blocks.
+BLOCK, BLOCK_BITS = 512, 1 << 27
+#: Bits of a bitmap for each element of the band's largest set: with few, sets that differ in much look alike.
+SPARSE = 4
+#: Signatures of a node that the first round looks at. It only has to find most of the links; later rounds find the rest.
+SAMPLED = 4
 #: Bits of the filters that tasks get, whatever the corpus: of documents to read again, and of shared signatures (4 MB).
 #: Full filters let more rows through to the joins, which decide.
 FILTER_BITS = 1 << 23
@@ -51,7 +56,7 @@ class Scheme:
     @property
     def bits(self) -> int:
         """Length of the parity bitmap: a power of two, so that longer ones can be folded."""
-        return max(64, 1 << (self.high - 1).bit_length())
+        return max(64, SPARSE << (self.high - 1).bit_length())
 
 
 def most_different(x: int, y: int, percent: int) -> int:
@@ -273,17 +278,30 @@ def _grouped(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield group
 
 
+def _sampled(nodes: DataFrame) -> DataFrame:
+    """``sig``, ``node`` of a few of each node's signatures, by hash, so that similar nodes mostly pick the same ones."""
+    ordered = F.array_sort(F.transform("signatures", lambda sig: F.struct(F.xxhash64(sig).alias("place"), sig.alias("sig"))))
+    return nodes.select(F.explode(F.slice(ordered, 1, SAMPLED)).alias("own"), "node").select("own.sig", "node")
+
+
+def _between(members: DataFrame) -> DataFrame:
+    """``sig``, ``node`` of the signatures whose nodes aren't all in one cluster. ``members`` has ``cluster`` too."""
+    open_ = members.groupBy("sig").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high")
+    return members.select("sig", "node").join(open_.select("sig"), "sig")
+
+
 def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], percent: int, forest: bool) -> DataFrame:
     """Pairs ``u`` < ``v`` of nodes that share a signature, can be similar by their sizes and bitmaps, and are in
     different clusters. With ``forest``, as few of them as connect each group; without it, groups of two are left out,
     as their forest was all of them.
 
-    ``members`` has ``sig``, ``node``; ``nodes`` has ``node``, ``n_shingles``, ``bitmap``, ``cluster``. Groups above ``BLOCK`` nodes are dealt
-    out as pairs of blocks, so that a task holds two blocks at a time, whatever the group's size.
+    ``members`` has ``sig``, ``node``; ``nodes`` has ``node``, ``n_shingles``, ``bitmap``, ``cluster``. Groups above ``BLOCK`` nodes, or
+    fewer where bitmaps are long, are dealt out as pairs of blocks, so that a task holds two blocks at a time.
     """
+    per_block = F.array(*[F.lit(max(8, min(BLOCK, BLOCK_BITS // s.bits))) for s in schemes])
     blocks = (
         members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= (2 if forest else 3))
-        .select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("sig", F.ceil(F.col("n") / F.get(per_block, F.expr("cast(sig & 255 as int)"))).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
@@ -382,9 +400,10 @@ def similar_sets(
     verified links between different sets. Equal sets are one node, told apart by a 64-bit hash of all their elements,
     which are 64-bit hashes of the shingles' words.
 
-    Links are looked for in two rounds over the same candidates: the first verifies a forest of each signature group,
-    the second every pair that is still between different clusters. So large groups of near copies cost a few links per
-    copy, and no link that would connect two clusters is missed; pairs inside one cluster are not all listed.
+    Links are looked for in three rounds. The first verifies a forest of the groups that a few signatures of each node
+    make; the second a forest of every signature's group that isn't in one cluster by then; the third every pair that is
+    still between different clusters. So large groups of near copies cost a few links per copy, and no link that would
+    connect two clusters is missed; pairs inside one cluster are not all listed.
 
     NULL and empty texts have an empty set and no node. Repeated rows and NULL keys stay rows of their own. An empty
     table gives no rows; other columns are not read.
@@ -399,14 +418,21 @@ def similar_sets(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"),
         F.first("signatures").alias("signatures"),
     ))
-    members = nodes.select(F.explode("signatures").alias("sig"), "node")
     plain = nodes.select("node", "n_shingles", "bitmap")
-    forest = scratch.written(_near_pairs(members, plain.withColumn("cluster", F.col("node")), schemes, percent, forest=True))
-    links = _verified(forest, nodes, docs, key, text, width, percent)
-    clusters = connected_components(links)
-    clustered = plain.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    rest = scratch.written(_near_pairs(members, clustered, schemes, percent, forest=False).join(forest, ["u", "v"], "left_anti"))
-    links = links.unionByName(_verified(rest, nodes, docs, key, text, width, percent))
+    members, placed = _sampled(nodes), plain.withColumn("cluster", F.col("node"))
+    every = nodes.select(F.explode("signatures").alias("sig"), "node")
+    links = tested = None
+    for forest in (True, True, False):
+        pairs = _near_pairs(members, placed, schemes, percent, forest)
+        pairs = scratch.written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        found = _verified(pairs, nodes, docs, key, text, width, percent)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if not forest:
+            break
+        clusters = connected_components(links)
+        placed = scratch.written(plain.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+        every = members = scratch.written(_between(every.join(placed.select("node", "cluster"), "node")))
     scratch.clear()
     return counted, links
 
@@ -420,20 +446,22 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """``docs`` with one row of each group that links make: the one with the smallest key (NULL last), then the smallest
     hash of its text. Of rows equal in key and text one stays. Documents without words are linked with nothing and stay,
     one for each key and text. Edge cases as in ``similar_sets``."""
-    marked = docs.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn(
-        "_mark", F.coalesce(F.xxhash64(text), F.lit(0)))
-    placed = clustered(*similar_sets(marked, key, text, width, percent, keep=["_id", "_mark"]))
-    place = F.struct(F.col(key).isNull().alias("late"), F.col(key), F.col("_mark"), F.col("_id"))
-    best = placed.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(place).alias("best")).select("cluster", "best._id", "best._mark")
-    stay = best.select("_id", "_mark")
-    gone = placed.filter("cluster IS NOT NULL").select("_id", "_mark").distinct().join(stay, ["_id", "_mark"], "left_anti")
-    repeated = placed.groupBy("_id", "_mark").count().filter("count > 1").select("_id", "_mark")
-    gone, repeated = written(gone), written(repeated.join(gone, ["_id", "_mark"], "left_anti"))
-    rest = without(marked, gone.unionByName(repeated), ["_id", "_mark"])
-    words = hash_filter(repeated.select(F.xxhash64("_id", "_mark").alias("hash")), FILTER_BITS)
-    again = passing(marked.withColumn("_hash", F.xxhash64("_id", "_mark")), "_hash", words)
-    once = again.join(repeated, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+    marked = docs.select(
+        F.struct(*docs.columns).alias("whole"), F.col(key).alias("own"), F.col(text).alias("said"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"),
+    )
+    placed = clustered(*similar_sets(marked, "own", "said", width, percent, keep=["id", "mark"]))
+    place = F.struct(F.col("own").isNull().alias("late"), F.col("own"), F.col("mark"), F.col("id"))
+    best = placed.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(place).alias("best"))
+    stay = best.select("best.id", "best.mark")
+    gone = placed.filter("cluster IS NOT NULL").select("id", "mark").distinct().join(stay, ["id", "mark"], "left_anti")
+    repeated = placed.groupBy("id", "mark").count().filter("count > 1").select("id", "mark")
+    gone, repeated = written(gone), written(repeated.join(gone, ["id", "mark"], "left_anti"))
+    rest = without(marked, gone.unionByName(repeated), ["id", "mark"])
+    words = hash_filter(repeated.select(F.xxhash64("id", "mark").alias("hash")), FILTER_BITS)
+    again = passing(marked.withColumn("hash", F.xxhash64("id", "mark")), "hash", words)
+    once = again.join(repeated, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("whole").alias("whole"))
+    return rest.select("whole.*").unionByName(once.select("whole.*"))
 
 
 def similarity_components(

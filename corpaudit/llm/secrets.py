@@ -226,11 +226,12 @@ def masked_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
 
     The longest values are replaced first, so that a value inside another doesn't leave a rest.
     """
-    columns = [c for c in docs.columns if c != key]
-    rows, found = scan_secrets(docs, key, text, path, keep=columns)
-    secrets = found.filter("secret").groupBy("row").agg(F.collect_set("value").alias("_values"))
-    longest = F.array_sort("_values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col(text), lambda t, v: F.replace(t, v, F.lit(mask)))
-    changed = rows.join(secrets, "row", "left").withColumn(text, clean).select(*docs.columns)
+    packed = docs.select(
+        F.struct(*docs.columns).alias("whole"), F.col(key).alias("own"), F.col(text).alias("said"), F.col(path).alias("where"))
+    rows, found = scan_secrets(packed, "own", "said", "where", keep=["whole"])
+    secrets = found.filter("secret").groupBy("row").agg(F.collect_set("value").alias("values"))
+    longest = F.array_sort("values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    clean = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col("whole")[text], lambda t, v: F.replace(t, v, F.lit(mask)))
+    changed = rows.join(secrets, "row", "left").select(F.col("whole").withField(text, clean).alias("whole")).select("whole.*")
     rest = docs.filter(~may_have_secrets(F.col(text)) | (F.size(candidates(F.col(text))) == 0))
     return rest.unionByName(changed)

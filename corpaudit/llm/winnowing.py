@@ -171,7 +171,9 @@ def contamination(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones. Edge cases as in ``contaminated_spans``."""
-    marked = docs.withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn(
-        "_mark", F.coalesce(F.xxhash64(text), F.lit(0)))
-    gone = written(contamination(marked, benchmark, key, text, keep=["_id", "_mark"]).filter("contaminated").select("_id", "_mark"))
-    return without(marked, gone, ["_id", "_mark"]).select(*docs.columns)
+    marked = docs.select(
+        F.struct(*docs.columns).alias("whole"), F.col(key).alias("own"), F.col(text).alias("said"),
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"),
+    )
+    gone = written(contamination(marked, benchmark, "own", "said", keep=["id", "mark"]).filter("contaminated").select("id", "mark"))
+    return without(marked, gone, ["id", "mark"]).select("whole.*")
