@@ -4,6 +4,10 @@ Two sets of sizes x and y with similarity t or more differ in H = floor((x + y)
 Hash the universe into m segments, count a segment that may differ in one element twice: if m + q = H + 1, where q
 segments are compared up to one deletion and the others exactly, some segment must agree (pigeonhole). Signatures of
 agreeing segments are the join keys; what they find is verified on the sets.
+
+Unrelated sets agree where both have nothing. So a surplus of e segments is added, m + q = H + 1 + e: then e + 1 segments
+agree, and a set with at most e segments that say next to nothing agrees with every similar set in one that says more. Such
+sets leave the empty signatures out.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ BAND = 1.2
 #: into pairs of blocks.
 BLOCK, BLOCK_BITS = 512, 1 << 27
 #: Bits of a bitmap for each element of the band's largest set: with few, sets that differ in much look alike.
-SPARSE = 4
+SPARSE = 2
 #: Signatures of a node that the first round looks at. It only has to find most of the links; later rounds find the rest.
 SAMPLED = 4
 #: Bits of the filters that tasks get, whatever the corpus: of documents to read again, and of shared signatures (4 MB).
@@ -39,7 +43,7 @@ SAMPLED = 4
 FILTER_BITS = 1 << 23
 SIGNATURE_BITS = 1 << 25
 #: Signatures that a task packs together, and that a bucket of the count holds, about.
-PACKED = 1 << 20
+PACKED, COUNTED = 1 << 20, 1 << 22
 _HASHES = WordHashes()
 
 
@@ -52,6 +56,7 @@ class Scheme:
     high: int
     segments: int
     deletions: int
+    surplus: int = 0
 
     @property
     def bits(self) -> int:
@@ -75,26 +80,39 @@ def bands(percent: int, largest: int) -> list[tuple[int, int]]:
         low = high + 1
 
 
+#: What a pair that meets by chance costs (two bitmaps shipped), in signatures (two bytes counted); and how many shingles
+#: two unrelated sets share, about.
+PAIR_COST, SHARED = 30, 0.05
+
+
 def allocated(number: int, low: int, high: int, rows: int, percent: int) -> Scheme:
     """The cheapest segments for a band: one-deletion neighbourhoods let segments be larger, so that fewer pairs agree
-    by chance, but each gives a signature per element.
+    by chance, but each gives a signature per element; a surplus lets sets do without their empty segments.
 
-    The cost is signatures of all rows plus expected chance pairs, a pair (one comparison of bitmaps) at a hundredth of a
-    signature (a row that is hashed, shuffled and counted). Sets meet by chance
-    where both have next to nothing in a segment: with a mean of ``k`` elements, exp(-2k) for exact segments and
-    exp(-2k) * (1 + 2k) up to one deletion.
+    The cost is signatures of all rows plus expected chance pairs. With a mean of ``k`` elements, two sets have nothing in
+    an exact segment with chance exp(-2k), next to nothing in one up to a deletion with exp(-2k) * (1 + 2k). That counts
+    where both have more such segments than the surplus, and for the few shingles that unrelated sets share.
     """
-    needed = most_different(high, high, percent) + 1
-
-    def cost(segments: int) -> float:
-        deletions = needed - segments
+    needed, best = most_different(high, high, percent) + 1, None
+    for surplus in range(13 if needed > 1 else 1):
+        whole = needed + surplus
+        segments = np.unique(np.linspace((whole + 1) // 2, whole, 40).astype(np.int64)).astype(np.float64)
+        deletions = whole - segments
         mean = low / segments
         signatures = segments - deletions + deletions * (high / segments + 1)
-        chance = math.exp(-2 * mean) * (segments - deletions + deletions * (1 + 2 * mean))
-        return rows * signatures + rows * rows / 2 * chance / 100
-
-    segments = min(range((needed + 1) // 2, needed + 1), key=cost)
-    return Scheme(number, low, high, segments, needed - segments)
+        alike = np.exp(-2 * mean) * (segments - deletions + deletions * (1 + 2 * mean))
+        thin = np.exp(-mean) * (segments - deletions + deletions * (1 + mean))
+        term = np.exp(-thin)
+        more = 1 - term
+        for i in range(1, surplus + 1):
+            term = term * thin / i
+            more = more - term
+        chance = alike * (np.maximum(more, 0) ** 2 + SHARED / segments)
+        cost = rows * signatures + rows * float(rows) / 2 * chance * PAIR_COST
+        at = int(np.argmin(cost))
+        if best is None or cost[at] < best[0]:
+            best = cost[at], Scheme(number, low, high, int(segments[at]), int(deletions[at]), surplus)
+    return best[1]
 
 
 def shingle_set(data: bytes | None, width: int) -> np.ndarray:
@@ -106,16 +124,25 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
 
 
 def signatures(elements: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """A signature for every segment, and for one-deletion segments one for every element left out. A subset's hash is
-    the sum of its elements' hashes, so leaving one out is a subtraction. The low byte holds the scheme's number."""
+    """A signature for every segment, and for one-deletion segments one for every element left out; without those of
+    nothing, if the set has no more thin segments (empty, or with one element that may be left out) than the surplus.
+
+    A subset's hash is the sum of its elements' hashes, so leaving one out is a subtraction. The low byte holds the
+    scheme's number."""
     spread = mixed_bits(elements + np.uint64(2 * scheme.number + 1))
     segment = (spread % np.uint64(scheme.segments)).astype(np.int64)
     sums = mixed_bits(np.arange(1, scheme.segments + 1, dtype=np.uint64))
     np.add.at(sums, segment, mixed_bits(spread))
+    sizes = np.bincount(segment, minlength=scheme.segments)
+    thin = np.count_nonzero(sizes[:scheme.deletions] <= 1) + np.count_nonzero(sizes[scheme.deletions:] == 0)
+    told = sizes > 0 if thin <= scheme.surplus else np.ones(len(sizes), bool)
+    found = [sums[told]]
     if scheme.deletions:
         near = segment < scheme.deletions
-        sums = np.concatenate([sums, sums[segment[near]] - mixed_bits(spread[near])])
-    return np.unique(mixed_bits(sums) & ~np.uint64(255) | np.uint64(scheme.number)).view(np.int64)
+        if thin <= scheme.surplus:
+            near &= sizes[segment] > 1
+        found.append(sums[segment[near]] - mixed_bits(spread[near]))
+    return np.unique(mixed_bits(np.concatenate(found)) & ~np.uint64(255) | np.uint64(scheme.number)).view(np.int64)
 
 
 def parity(elements: np.ndarray, bits: int) -> bytes:
@@ -167,12 +194,13 @@ def used_schemes(n: int, schemes: list[Scheme], percent: int) -> list[Scheme]:
 
 def set_signatures(elements: np.ndarray, used: list[Scheme]) -> np.ndarray:
     """All signatures of a set; none where no difference is allowed, as similar sets are equal there, so one node."""
-    found = [signatures(elements, s) for s in used if s.segments + s.deletions > 1]
+    found = [signatures(elements, s) for s in used if s.segments + s.deletions - s.surplus > 1]
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-#: Bits of a signature's hash that a pack holds; the bits above them are its bucket.
-CELL_BITS = 40
+#: Bits of a signature's hash that a pack tells; the bits above them are its bucket.
+CELL_BITS = 28
+_STEP = 65_535
 
 
 def cells_of(found: np.ndarray, bits: int) -> np.ndarray:
@@ -181,22 +209,31 @@ def cells_of(found: np.ndarray, bits: int) -> np.ndarray:
 
 
 def packs(cells: np.ndarray) -> list[tuple[int, bytes]]:
-    """Buckets and their sorted cells as 5 bytes each; what comes several times stands twice, which tells all."""
+    """Buckets and their sorted cells as gaps of 2 bytes each (a full step, which is no cell, where a gap is longer);
+    what comes several times stands twice, which tells all."""
     kept, counts = np.unique(cells, return_counts=True)
     kept = np.repeat(kept, np.minimum(counts, 2))
     buckets = (kept >> np.uint64(CELL_BITS)).astype(np.int64)
+    own = (kept & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
     starts = np.flatnonzero(np.diff(buckets, prepend=-1))
-    raw = kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BITS // 8]
-    return [(int(buckets[a]), raw[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(kept)))]
+    gaps = np.diff(own, prepend=0)
+    gaps[starts] = own[starts]
+    steps = gaps // _STEP
+    ends = np.cumsum(steps + 1)
+    coded = np.full(int(ends[-1]) if len(ends) else 0, _STEP, np.uint16)
+    coded[ends - 1] = gaps % _STEP
+    firsts = (ends - steps - 1)[starts]
+    return [(int(buckets[i]), coded[a:b].tobytes()) for i, a, b in zip(starts, firsts, np.append(firsts[1:], len(coded)))]
 
 
 def shared_cells(bucket: int, found: list[bytes]) -> np.ndarray:
     """The cells that come twice or more in a bucket's packs."""
-    raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, CELL_BITS // 8)
-    whole = np.zeros((len(raw), 8), np.uint8)
-    whole[:, :CELL_BITS // 8] = raw
-    cells, counts = np.unique(whole.view("<u8").ravel(), return_counts=True)
-    return cells[counts > 1] | np.uint64(bucket) << np.uint64(CELL_BITS)
+    cells = []
+    for pack in found:
+        coded = np.frombuffer(pack, np.uint16)
+        cells.append(np.cumsum(coded, dtype=np.int64)[coded != _STEP])
+    kept, counts = np.unique(np.concatenate(cells), return_counts=True)
+    return kept[counts > 1].astype(np.uint64) | np.uint64(bucket) << np.uint64(CELL_BITS)
 
 
 def _shared_filter(
@@ -205,10 +242,10 @@ def _shared_filter(
     """A filter that every signature of two nodes or more passes, and the bits of a cell it is asked for.
 
     Signatures are many and most stand alone, so they are counted in packs: tasks drop copies of sets and of signatures
-    that they saw, sort the rest into buckets by their top bits and ship 5 bytes of each. There are as many buckets as
-    keep one at about ``PACKED`` signatures. Signatures with equal cells only let more rows through.
+    that they saw, sort the rest into buckets by their top bits and ship about 2 bytes of each. There are as many buckets
+    as keep one at about ``COUNTED`` signatures. Signatures with equal cells only let more rows through.
     """
-    bits = CELL_BITS + min(24, max(8, math.ceil(math.log2(max(words, 1) / PACKED))))
+    bits = CELL_BITS + min(24, max(5, math.ceil(math.log2(max(words, 1) / COUNTED))))
     out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("pack", T.BinaryType())])
     target = to_arrow_schema(out)
 
@@ -241,6 +278,7 @@ _COUNTED = T.StructType([
     T.StructField("signatures", T.ArrayType(T.LongType())),
 ])
 _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+_CANDIDATE = T.StructType([*_PAIR.fields, T.StructField("sig", T.LongType())])
 
 
 def _counted(
@@ -256,7 +294,7 @@ def _counted(
         used = used_schemes(n, schemes, percent)
         found = set_signatures(elements, used)
         found = found[in_filter(words, mixed_bits(cells_of(found, bits)))]
-        return n, node_of(elements), parity(elements, used[-1].bits), found
+        return n, node_of(elements), parity(elements, used[-1].bits) if len(found) else None, found
 
     def run(batch: pa.RecordBatch) -> list[tuple]:
         return [(*own, *describe(data)) for *own, data in zip(*(values(batch, c) for c in (key, *keep)), as_bytes(batch, text))]
@@ -284,23 +322,27 @@ def _sampled(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.slice(ordered, 1, SAMPLED)).alias("own"), "node").select("own.sig", "node")
 
 
-def _between(members: DataFrame) -> DataFrame:
-    """``sig``, ``node`` of the signatures whose nodes aren't all in one cluster. ``members`` has ``cluster`` too."""
-    open_ = members.groupBy("sig").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high")
-    return members.select("sig", "node").join(open_.select("sig"), "sig")
+def _between(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sig``, ``node`` of the signatures whose nodes aren't all in one cluster. ``members`` has ``cluster`` too. A filter of
+    fixed size keeps most others from the join, which decides."""
+    seen = members.groupBy("sig").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    across = scratch.written(seen.filter("low != high").select("sig"))
+    words = hash_filter(across.select(F.xxhash64("sig").alias("hash")), SIGNATURE_BITS)
+    kept = passing(members.select("sig", "node", F.xxhash64("sig").alias("hash")), "hash", words)
+    return kept.select("sig", "node").join(across, "sig")
 
 
 def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], percent: int, forest: bool) -> DataFrame:
     """Pairs ``u`` < ``v`` of nodes that share a signature, can be similar by their sizes and bitmaps, and are in
-    different clusters. With ``forest``, as few of them as connect each group; without it, groups of two are left out,
-    as their forest was all of them.
+    different clusters. With ``forest``, as few of them as connect each group, and in rows without a pair the ``sig`` of
+    the groups that have more of them.
 
     ``members`` has ``sig``, ``node``; ``nodes`` has ``node``, ``n_shingles``, ``bitmap``, ``cluster``. Groups above ``BLOCK`` nodes, or
     fewer where bitmaps are long, are dealt out as pairs of blocks, so that a task holds two blocks at a time.
     """
     per_block = F.array(*[F.lit(max(8, min(BLOCK, BLOCK_BITS // s.bits))) for s in schemes])
     blocks = (
-        members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= (2 if forest else 3))
+        members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         .select("sig", F.ceil(F.col("n") / F.get(per_block, F.expr("cast(sig & 255 as int)"))).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -312,7 +354,7 @@ def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], per
         .repartition("sig", "a", "b").sortWithinPartitions("sig", "a", "b", "node")
     )
     names = ("sig", "a", "b", "own", "node", "n_shingles", "bitmap", "cluster")
-    target = to_arrow_schema(_PAIR)
+    target = to_arrow_schema(_CANDIDATE)
 
     def compare(group: list[tuple]) -> list[tuple]:
         sig, a, b = group[0][:3]
@@ -321,7 +363,7 @@ def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], per
         sizes = np.array([r[5] for r in group], np.int64)
         clusters = np.array([r[7] for r in group], np.int64)
         block = np.array([r[3] for r in group])
-        roots = clusters.copy()
+        roots, more = clusters.copy(), False
         found = []
         for i in range(1, len(group)):
             odd = np.bitwise_count(maps[:i] ^ maps[i]).sum(axis=1, dtype=np.int64)
@@ -332,10 +374,11 @@ def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], per
             for j in np.flatnonzero(near).tolist():
                 if forest:
                     if roots[j] == roots[i]:
+                        more = True
                         continue
                     roots[roots == roots[i]] = roots[j]
-                found.append(tuple(sorted((group[i][4], group[j][4]))))
-        return found
+                found.append((*sorted((group[i][4], group[j][4])), None))
+        return [*found, (None, None, sig)] if more else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple] = set()
@@ -348,7 +391,7 @@ def _near_pairs(members: DataFrame, nodes: DataFrame, schemes: list[Scheme], per
         if pairs:
             yield to_batch(list(pairs), target)
 
-    return short_batches(dealt).mapInArrow(run, _PAIR).distinct()
+    return short_batches(dealt).mapInArrow(run, _CANDIDATE).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -401,8 +444,8 @@ def similar_sets(
     which are 64-bit hashes of the shingles' words.
 
     Links are looked for in three rounds. The first verifies a forest of the groups that a few signatures of each node
-    make; the second a forest of every signature's group that isn't in one cluster by then; the third every pair that is
-    still between different clusters. So large groups of near copies cost a few links per copy, and no link that would
+    make; the second a forest of every signature's group that isn't in one cluster by then; the third every pair of the
+    groups where the forest left some out that is still between different clusters. So large groups of near copies cost a few links per copy, and no link that would
     connect two clusters is missed; pairs inside one cluster are not all listed.
 
     NULL and empty texts have an empty set and no node. Repeated rows and NULL keys stay rows of their own. An empty
@@ -418,21 +461,27 @@ def similar_sets(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"),
         F.first("signatures").alias("signatures"),
     ))
-    plain = nodes.select("node", "n_shingles", "bitmap")
+    plain = nodes.filter("bitmap IS NOT NULL").select("node", "n_shingles", "bitmap")
     members, placed = _sampled(nodes), plain.withColumn("cluster", F.col("node"))
-    every = nodes.select(F.explode("signatures").alias("sig"), "node")
     links = tested = None
     for forest in (True, True, False):
-        pairs = _near_pairs(members, placed, schemes, percent, forest)
-        pairs = scratch.written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        near = scratch.written(_near_pairs(members, placed, schemes, percent, forest))
+        pairs = near.filter("u IS NOT NULL").select("u", "v")
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
         found = _verified(pairs, nodes, docs, key, text, width, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if not forest:
             break
         clusters = connected_components(links)
         placed = scratch.written(plain.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
-        every = members = scratch.written(_between(every.join(placed.select("node", "cluster"), "node")))
+        own = placed.select("node", "cluster")
+        if tested is None:
+            every = nodes.select("node", "signatures").join(own, "node").select(F.explode("signatures").alias("sig"), "node", "cluster")
+        else:  # the second round saw every group, the third looks at those that had more to tell
+            every = members.join(near.filter("sig IS NOT NULL").select("sig").distinct(), "sig").join(own, "node")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        members = scratch.written(_between(every, scratch))
     scratch.clear()
     return counted, links
 
