@@ -256,7 +256,7 @@ def robustness_audit(df: DataFrame, seed: int = STUDY_SEED) -> dict[str, DataFra
 
 
 def near_duplicate_pairs(
-    df: DataFrame, text: str = "combined_text", k: int = NEIGHBOURS, min_similarity: float = -1.0,
+    df: DataFrame, text: str = "combined_text", k: int | None = NEIGHBOURS, min_similarity: float = -1.0,
     dimensions: int = topics.EMBEDDING_DIMENSIONS, max_features: int = topics.PAIR_FEATURES,
 ) -> DataFrame:
     """Nearest-neighbour pairs of texts in the reduced TF-IDF space."""

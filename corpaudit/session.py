@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, read again. Unlike a checkpoint, the table is known by its real
+    size: estimates of joins over joins, round after round, would grow without bounds."""
+    spark = df.sparkSession
+    _ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
