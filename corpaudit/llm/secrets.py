@@ -60,22 +60,33 @@ def may_have_secrets(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Candidates of a whole text in order: word ``place``, ``value``, ``before`` (two words and what stands before the
-    value in its own word) and ``after``."""
-    words = _words(text)
-    numbered = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.alias("place"), w.alias("word"))),
-        lambda w: (F.length(w["word"]) >= LEAST) & w["word"].rlike(_VALUE),
+    value in its own word, from the value before on) and ``after``. A word can hold several values.
+
+    Words get their neighbours and are cut into values once each, so the work grows with the text, not with its square.
+    """
+    words, none = _words(text), F.lit("")
+    beside = F.arrays_zip(
+        words.alias("word"), F.concat(F.array(none), words).alias("one"), F.concat(F.array(none, none), words).alias("two"),
+        F.slice(words, F.lit(2), F.size(words)).alias("next"),
     )
+    placed = F.transform(beside, lambda w, i: F.struct(i.cast("long").alias("place"), w.alias("w")))
+    numbered = F.filter(placed, lambda p: (F.length(p["w"]["word"]) >= LEAST) & p["w"]["word"].rlike(_VALUE))
 
-    def described(w: Column) -> Column:
-        value = F.regexp_extract(w["word"], _VALUE, 1)
-        at = lambda n: F.coalesce(F.get(words, w["place"] + n), F.lit(""))
+    def cut(p: Column) -> Column:
+        word = p["w"]["word"]
         return F.struct(
-            w["place"].cast("long").alias("place"), value.alias("value"),
-            F.concat_ws(" ", at(-2), at(-1), F.call_function("substring_index", w["word"], value, F.lit(1))).alias("before"), at(1).alias("after"),
+            p["place"].alias("place"), F.concat_ws(" ", p["w"]["two"], p["w"]["one"]).alias("ahead"), F.coalesce(p["w"]["next"], none).alias("after"),
+            F.arrays_zip(F.regexp_extract_all(word, F.lit(_VALUE), F.lit(1)).alias("value"), F.split(word, _VALUE, -1).alias("gap")).alias("values"),
         )
 
-    return F.transform(numbered, described)
+    def described(w: Column) -> Column:
+        # What stands behind the last value is a gap without one.
+        with_value = F.filter(w["values"], lambda v: v["value"].isNotNull())
+        return F.transform(with_value, lambda v: F.struct(
+            w["place"].alias("place"), v["value"].alias("value"), F.concat_ws(" ", w["ahead"], v["gap"]).alias("before"), w["after"].alias("after"),
+        ))
+
+    return F.flatten(F.transform(F.transform(numbered, cut), described))
 
 
 def _covered(value: Column, dictionary: Sequence[str]) -> Column:
@@ -185,7 +196,7 @@ def scan_secrets(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with a candidate, and their candidates.
 
-    First: ``row`` (unique), ``key``, ``keep``. Second: ``row``, ``place``, ``value``, ``before``, ``after``, ``path``,
+    First: ``row`` (unique), ``own`` (a struct of ``key`` and ``keep``). Second: ``row``, ``place``, ``value``, ``before``, ``after``, ``path``,
     ``score``, ``kind``, ``secret``. Without ``labelled`` findings the forest learns from the candidates that
     ``clear_labels`` can tell, and from the seed findings.
 
@@ -194,14 +205,14 @@ def scan_secrets(
     are not read. Texts of any length are scanned whole.
     """
     rows = docs.filter(may_have_secrets(F.col(text))).select(
-        key, *keep, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), candidates(F.col(text)).alias("_found")
-    ).filter(F.size("_found") > 0)
+        F.struct(key, *keep).alias("own"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), candidates(F.col(text)).alias("found")
+    ).filter(F.size("found") > 0)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    found = rows.select("row", F.col("_path").alias("path"), F.inline("_found"))
+    found = rows.select("row", "path", F.inline("found"))
     words = dictionary()
     forest = fit_forest(clear_labels(found) if labelled is None else labelled, words)
     judged = scored(found, forest, words).withColumn("secret", F.col("score") >= threshold)
-    return rows.drop("_path", "_found"), judged
+    return rows.select("row", "own"), judged
 
 
 def secret_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -213,7 +224,7 @@ def secret_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("secret"), F.col("kind")))), ",").alias("kinds"),
         F.max("score").alias("max_score"),
     )
-    with_some = rows.join(counts, "row").select(key, "n_candidates", "n_secrets", "kinds", "max_score")
+    with_some = rows.join(counts, "row").select(F.col("own")[key].alias(key), "n_candidates", "n_secrets", "kinds", "max_score")
     none = docs.filter(~may_have_secrets(F.col(text)) | (F.size(candidates(F.col(text))) == 0)).select(
         key, F.lit(0).cast("long").alias("n_candidates"), F.lit(0).cast("long").alias("n_secrets"), F.lit("").alias("kinds"),
         F.lit(0.0).alias("max_score"),
@@ -226,12 +237,11 @@ def masked_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
 
     The longest values are replaced first, so that a value inside another doesn't leave a rest.
     """
-    packed = docs.select(
-        F.struct(*docs.columns).alias("whole"), F.col(key).alias("own"), F.col(text).alias("said"), F.col(path).alias("where"))
-    rows, found = scan_secrets(packed, "own", "said", "where", keep=["whole"])
+    packed = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text).alias("said"), F.col(path).alias("where"))
+    rows, found = scan_secrets(packed, "whole", "said", "where")
     secrets = found.filter("secret").groupBy("row").agg(F.collect_set("value").alias("values"))
     longest = F.array_sort("values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col("whole")[text], lambda t, v: F.replace(t, v, F.lit(mask)))
-    changed = rows.join(secrets, "row", "left").select(F.col("whole").withField(text, clean).alias("whole")).select("whole.*")
+    clean = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col("own.whole")[text], lambda t, v: F.replace(t, v, F.lit(mask)))
+    changed = rows.join(secrets, "row", "left").select(F.col("own.whole").withField(text, clean).alias("whole")).select("whole.*")
     rest = docs.filter(~may_have_secrets(F.col(text)) | (F.size(candidates(F.col(text))) == 0))
     return rest.unionByName(changed)

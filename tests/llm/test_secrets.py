@@ -13,6 +13,7 @@ ROWS = [
     (1, None), (2, ""), (3, " \n"), (4, "plain words without numbers"), (5, f'here token = "{TOKEN}" and more'), (5, f'here token = "{TOKEN}" and more'),
     (6, f"start {KEY}\tend"), (7, "set password=e3b3ed3cc8548923d6 now"), (8, "card 4785380592391139 paid"), (None, f"x {KEY}"),
     (9, ("filler words " * 40_000) + f"token: {TOKEN}a"), (10, "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 is fine"), (11, "Ünïcode1234567890wörter"),
+    (14, f'{{"a":"{KEY}","b":"{KEY[:-1]}Z"}}'), (15, f"token={TOKEN};api_key=Zx81kQpL0vNs72HdYt5M"), (16, f"{KEY}," * 20_000), (17, f"{KEY}=="),
     (12, f"{KEY} {KEY} password={KEY[:-1]}Z"), (13, "password=your-password-123"),
 ]
 
@@ -21,9 +22,8 @@ def _brute(text):
     found = []
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     for i, w in enumerate(words):
-        m = re.search(r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}", w)
-        if len(w) >= 12 and m:
-            found.append((i, m[0]))
+        if len(w) >= 12:
+            found += [(i, m[0]) for m in re.finditer(r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}", w)]
     return found
 
 
@@ -36,20 +36,36 @@ def test_candidates(spark, documents):
 
 
 def test_counts_and_masks(spark, documents):
-    docs = documents(ROWS, "score").withColumn("row", F.lit("clash"))
+    docs = documents(ROWS, "score")
     found = sorted((str(r.doc_id), r.n_candidates, r.n_secrets) for r in secrets.secret_counts(docs).collect())
-    wanted = {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (1, 1), 7: (1, 1), 8: (1, 0), None: (1, 1), 9: (1, 1), 10: (1, 0), 12: (3, 3), 13: (1, 0)}
+    wanted = {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (1, 1), 7: (1, 1), 8: (1, 0), None: (1, 1), 9: (1, 1), 10: (1, 0), 12: (3, 3), 13: (1, 0), 14: (2, 2), 15: (2, 2), 16: (20_000, 20_000), 17: (1, 1)}
     assert [f for f in found if f[0] != "11"] == sorted((str(i), *wanted[i]) for i, _ in ROWS if i != 11)
-    docs = docs.drop("row")
     masked = secrets.masked_secrets(docs)
     assert masked.columns == docs.columns and masked.count() == len(ROWS)
     texts = {r.doc_id: r.text for r in masked.collect()}
     assert texts[5] == f'here token = "{secrets.MASK}" and more' and texts[6] == f"start {secrets.MASK}\tend"
     assert texts[8] == "card 4785380592391139 paid" and texts[1] is None and TOKEN not in texts[9]
     assert texts[12] == f"{secrets.MASK} {secrets.MASK} password={secrets.MASK}"
+    assert texts[14] == f'{{"a":"{secrets.MASK}","b":"{secrets.MASK}"}}' and texts[16] == f"{secrets.MASK}," * 20_000
+    assert texts[15] == f"token={secrets.MASK};api_key={secrets.MASK}"
     assert secrets.secret_counts(documents([])).count() == 0
 
 
+def test_what_stands_before_each_value_of_a_word(spark, documents):
+    found = documents([(1, f"set it token={TOKEN};api_key={KEY}, now")]).select(F.inline(secrets.candidates(F.col("text")))).collect()
+    assert [tuple(r) for r in found] == [(2, TOKEN, "set it token=", "now"), (2, KEY, "set it ;api_key=", "now")]
+
+
+def test_names_of_columns_do_not_clash(spark, documents):
+    names = ["row", "path", "_path", "_found", "found", "own", "whole", "said", "where", "value", "score"]
+    docs = documents([(1, f"token = {TOKEN}"), (2, "none")], None).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    assert {r.doc_id: r.n_secrets for r in secrets.secret_counts(docs).collect()} == {1: 1, 2: 0}
+    masked = secrets.masked_secrets(docs)
+    assert masked.columns == docs.columns
+    assert {r.doc_id: r.text for r in masked.collect()} == {1: f"token = {secrets.MASK}", 2: "none"}
+    assert all(r[n] == n for r in masked.collect() for n in names)
+
+
 @pytest.mark.parametrize("name", ["secret_counts", "masked_secrets"])
 def test_no_python_in_the_plan(spark, documents, name):
     plan = getattr(secrets, name)(documents(ROWS, None))._jdf.queryExecution().executedPlan().toString()
