@@ -44,19 +44,40 @@ def stratified_split(
     df: DataFrame, key: str, label: str, seeds: Sequence[int], share: float = TEST_SHARE
 ) -> DataFrame:
     """``df`` once per seed, with ``seed`` and ``part``: exact class sizes on both sides. Rows without a label train."""
-    runs = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    runs = df.withColumn("seed", _each(seeds))
     hashed = runs.withColumn("_hash", seeded_hash(F.col("seed"), F.col(key)))
-    cutoffs = _by_class(hashed, label, ["seed"], class_quotas(df, label, share))
     # One row per seed and class.
-    marked = hashed.join(F.broadcast(cutoffs), ["seed", label], "left")
+    marked = hashed.join(F.broadcast(class_cutoffs(df, key, label, seeds, share)), ["seed", label], "left")
     return marked.withColumn("part", _side(F.col("_hash") <= F.col("cutoff"))).select(*df.columns, "seed", "part")
 
 
-def _by_class(hashed: DataFrame, label: str, extra_strata: list[str], quotas: DataFrame) -> DataFrame:
-    strata = [*extra_strata, label]
-    slim = hashed.filter(F.col(label).isNotNull()).select(*strata, "_hash")
-    keys = slim.select(*strata).distinct()
-    return rank_cutoffs(slim, strata, "_hash", F.col("_test_rows"), keys.join(F.broadcast(quotas), label))
+def _each(seeds: Sequence[int]) -> Column:
+    return F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
+
+
+def class_cutoffs(df: DataFrame, key: str, label: str, seeds: Sequence[int], share: float = TEST_SHARE) -> DataFrame:
+    """``seed``, ``label``, ``cutoff``: the hash up to which a class's rows are test rows of that seed."""
+    slim = df.filter(F.col(label).isNotNull()).select(label, F.col(key).alias("_key")).withColumn("seed", _each(seeds))
+    hashed = slim.select("seed", label, seeded_hash(F.col("seed"), F.col("_key")).alias("_hash"))
+    quotas = class_quotas(df, label, share).withColumn("seed", _each(seeds))
+    return rank_cutoffs(hashed, ["seed", label], "_hash", F.col("_test_rows"), quotas)
+
+
+def seed_marks(df: DataFrame, key: str, label: str, seeds: Sequence[int], names: Sequence[str], share: float = TEST_SHARE) -> DataFrame:
+    """``df`` with a flag per seed (``names``, in the order of ``seeds``) for the test rows of its stratified split.
+
+    The same sides as :func:`stratified_split`, without a copy of the rows for every seed.
+    """
+    cutoffs = class_cutoffs(df, key, label, seeds, share)
+    # One row per class, an entry per seed.
+    by_seed = F.map_from_entries(F.collect_list(F.struct("seed", "cutoff"))).alias("_cutoffs")
+    per_class = cutoffs.groupBy(F.col(label).alias("_class")).agg(by_seed)
+    marked = df.join(F.broadcast(per_class), F.col(label) == F.col("_class"), "left")
+    sides = {
+        name: F.coalesce(seeded_hash(int(seed), F.col(key)) <= F.try_element_at("_cutoffs", F.lit(int(seed))), F.lit(False))
+        for name, seed in zip(names, seeds)
+    }
+    return marked.withColumns(sides).select(*df.columns, *names)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:

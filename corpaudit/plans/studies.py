@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from threading import Lock
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +17,7 @@ from corpaudit.operators.neighbours import knn_pairs, pair_details, review_pairs
 from corpaudit.operators.reports import drop_vs_baseline, lowest_per_group, repeat_summary
 from corpaudit.roles import POSTING_ROLES
 from corpaudit.session import checkpointed
+from corpaudit.sources import results
 
 KEY, TARGET = POSTING_ROLES.key, POSTING_ROLES.target
 
@@ -104,10 +106,12 @@ def holdout_scores(df: DataFrame, spec: ModelSpec = FULL_SVM, seed: int = STUDY_
 
 
 def leakage_by_seed(df: DataFrame, groups: Sequence[str], seeds: Sequence[int] = LEAKAGE_SEEDS) -> DataFrame:
-    """Test rows of random splits whose group also trains, all seeds in one job per group column."""
-    slim = splits.stratified_split(df.select(KEY, TARGET, *groups), KEY, TARGET, seeds)
+    """Test rows of random splits whose group also trains: one shuffle per group column for all seeds."""
+    marks = {seed: f"_test_{place}" for place, seed in enumerate(dict.fromkeys(seeds))}
+    slim = splits.seed_marks(df.select(KEY, TARGET, *groups), KEY, TARGET, list(marks), list(marks.values()))
+    written = checkpointed(slim.select(*groups, *marks.values()))
     tables = [
-        duplicates.leakage(slim, group, ["seed"]).withColumn("cluster_type", F.lit(group)) for group in groups
+        duplicates.leakage_by_mark(written, group, marks).withColumn("cluster_type", F.lit(group)) for group in groups
     ]
     return union_all(tables)
 
@@ -308,25 +312,54 @@ def archetypes(df: DataFrame, seed: int = STUDY_SEED, spec: ModelSpec = FULL_SVM
 
 def leakage_runs(
     df: DataFrame, seeds: Sequence[int] = LEAKAGE_SEEDS, specs: Sequence[ModelSpec] = LEAKAGE_MODELS,
-    protocols: Sequence[str] = splits.PROTOCOLS,
+    protocols: Sequence[str] = splits.PROTOCOLS, ledger: str | None = None, name: str = "repeated_split_model_results",
 ) -> DataFrame:
-    """Metrics of every model under every protocol and seed. ``df`` carries both group columns."""
+    """Metrics of every model under every protocol and seed. ``df`` carries both group columns.
+
+    With a ``ledger`` folder, each finished run (a protocol and seed) is committed there under ``name``; a study that
+    broke off fits only the runs that are missing, and the result is read from the ledger. A ledger belongs to one table
+    and one set of models: runs of others are not told apart.
+    """
     runs = ["model", "split_protocol", "seed"]
+    wanted = df.sparkSession.createDataFrame(
+        [(p, int(s)) for s in seeds for p in protocols], f"{runs[1]} string, {runs[2]} int"
+    )
 
-    def one(seed: int, protocol: str):
+    def one(seed: int, protocol: str) -> DataFrame:
         parts = splits.split_by_protocol(df, protocol, seed, KEY, TARGET, candidates=LEAKAGE_CANDIDATES).persist()
         scored, _ = evaluate_split(parts, specs, KEY, TARGET)
-        tags = [F.lit(protocol).alias("split_protocol"), F.lit(seed).alias("seed")]
-        return scored.select("*", *tags), splits.split_stats(parts, TARGET).select("*", *tags)
+        tags = [F.lit(protocol).alias(runs[1]), F.lit(seed).alias(runs[2])]
+        stats = splits.split_stats(parts, TARGET).select("*", *tags)
+        table = metrics.binary_metrics(scored.select("*", *tags), [*runs, "threshold"], F.col("threshold"))
+        # A row per model.
+        table = checkpointed(table.drop("threshold").join(F.broadcast(stats), runs[1:]))
+        parts.unpersist()
+        return table
+
+    if ledger is None:
+        return union_all(in_parallel([lambda s=s, p=p: one(s, p) for s in seeds for p in protocols]))
+
+    commits = Lock()  # one writer at a time changes the table
 
-    done = in_parallel([lambda s=s, p=p: one(s, p) for s in seeds for p in protocols])
-    scores, stats = union_all([s for s, _ in done]), union_all([s for _, s in done])
-    table = metrics.binary_metrics(scores, [*runs, "threshold"], F.col("threshold")).drop("threshold")
-    return table.join(stats, ["split_protocol", "seed"])
+    def committed(seed: int, protocol: str) -> None:
+        table = one(seed, protocol)
+        with commits:
+            results.append_run(table, ledger, name, runs[1:])
 
+    # One row per run.
+    missing = results.missing_runs(wanted, ledger, name, runs[1:]).collect()
+    in_parallel([lambda r=r: committed(r[runs[2]], r[runs[1]]) for r in missing])
+    done = results.read_table(df.sparkSession, ledger, name)
+    return done.join(F.broadcast(wanted), runs[1:], "left_semi")
+
+
+def leakage_study(
+    df: DataFrame, seeds: Sequence[int] = LEAKAGE_SEEDS, ledger: str | None = None
+) -> dict[str, DataFrame]:
+    """Near-template clusters, leakage of random splits, and what leakage-free splits cost each model.
 
-def leakage_study(df: DataFrame, seeds: Sequence[int] = LEAKAGE_SEEDS) -> dict[str, DataFrame]:
-    """Near-template clusters, leakage of random splits, and what leakage-free splits cost each model."""
+    ``ledger``: a shared folder that keeps finished runs (see :func:`leakage_runs`).
+    """
     pairs = near_duplicate_pairs(df, min_similarity=NEAR_THRESHOLD).persist()
     near = splits.PROTOCOLS[2].replace("near_template_group", "near_template_cluster")
     clustered = clusters(df, KEY, pairs, NEAR_THRESHOLD, near).persist()
@@ -335,7 +368,7 @@ def leakage_study(df: DataFrame, seeds: Sequence[int] = LEAKAGE_SEEDS) -> dict[s
     summary = union_all(
         [duplicates.cluster_summary(clustered, kind, TARGET).withColumn("cluster_type", F.lit(kind)) for kind in kinds]
     )
-    results = leakage_runs(clustered, seeds).persist()
+    table = leakage_runs(clustered, seeds, ledger=ledger).persist()
     details = {
         "job_id": F.col(KEY), "fraudulent": F.col(TARGET),
         "title": F.substring("title", 1, 120), "description": F.substring("description", 1, 260),
@@ -346,9 +379,9 @@ def leakage_study(df: DataFrame, seeds: Sequence[int] = LEAKAGE_SEEDS) -> dict[s
         "random_split_leakage_summary": duplicates.leakage_summary(by_seed),
         "near_template_manual_review_candidates": pair_details(review_pairs(pairs), df, KEY, details),
         "near_template_top_pairs": top_pairs(pairs, 250),
-        "repeated_split_model_results": results,
-        "repeated_split_model_summary": repeat_summary(results),
-        "split_performance_drop_summary": drop_vs_baseline(results),
+        "repeated_split_model_results": table,
+        "repeated_split_model_summary": repeat_summary(table),
+        "split_performance_drop_summary": drop_vs_baseline(table),
     }
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpaudit.operators import components, duplicates, neighbours, sampling, splits
+from corpaudit.plans import studies
 from corpaudit.operators.topics import fit_topics, right_singular_vectors
 from corpaudit.sources import corpus, results
 
@@ -176,3 +177,56 @@ def test_csv_round_trip_and_resumable_runs(spark, tmp_path):
     results.append_run(done, str(tmp_path), "runs", ["model", "seed"])
     assert results.read_table(spark, str(tmp_path), "runs").count() == 1
     assert results.missing_runs(wanted, str(tmp_path), "runs", ["model", "seed"]).first()["model"] == "b"
+
+
+def test_leakage_of_all_seeds_at_once(spark):
+    rows = [(i, None if i % 50 == 0 else int(i % 7 == 0), "hot" if i < 120 else None if i % 9 == 0 else f"g{i % 61}", f"s{i // 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "job_id long, fraudulent int, grp string, pair string").repartition(5)
+    seeds = [7, 13, 23]
+    found = studies.leakage_by_seed(df, ["grp", "pair"], seeds)
+    parts = splits.stratified_split(df, "job_id", "fraudulent", seeds)
+    for group in ("grp", "pair"):
+        plain = sorted(map(tuple, duplicates.leakage(parts, group, ["seed"]).collect()))
+        mine = found.filter(F.col("cluster_type") == group).drop("cluster_type")
+        assert sorted(map(tuple, mine.collect())) == plain and len(plain) == len(seeds)
+    assert studies.leakage_by_seed(df.limit(0), ["grp"], seeds).count() == 0
+
+
+def seed_marks_multiply_no_rows(spark):
+    df = labelled(spark)
+    marked = splits.seed_marks(df, "id", "label", [7, 13], ["a", "b"])
+    assert marked.count() == df.count() and "Generate" not in marked.drop("a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    for seed, name in ((7, "a"), (13, "b")):
+        parts = splits.stratified_split(df, "id", "label", [seed]).filter("part = 'test'")
+        assert {r.id for r in marked.filter(name).collect()} == {r.id for r in parts.collect()}
+
+
+def test_a_broken_study_fits_only_its_missing_runs(spark, tmp_path, monkeypatch):
+    df = spark.range(200).select(
+        F.col("id").alias("job_id"), (F.col("id") % 5 == 0).cast("int").alias("fraudulent"),
+        F.concat(F.lit("e"), (F.col("id") % 40).cast("string")).alias("exact_signature"),
+    )
+    fitted, broken = [], [True]
+
+    def scores(parts, specs, key, target):
+        if broken[0] and len(fitted) == 3:
+            raise RuntimeError("lost")
+        fitted.append(1)
+        score = F.when(F.col(key) % 3 == 0, 1.0).otherwise(-1.0)
+        test = parts.filter("part = 'test'").select(F.lit("m").alias("model"), F.lit(0.0).alias("threshold"), key, F.col(target).alias("label"), score.alias("score"))
+        return test, {}
+
+    monkeypatch.setattr(studies, "evaluate_split", scores)
+    monkeypatch.setattr(studies, "in_parallel", lambda tasks, threads=4: [task() for task in tasks])
+    run = lambda ledger: studies.leakage_runs(df, [7, 13], (), splits.PROTOCOLS[:2], ledger)
+    with pytest.raises(RuntimeError):
+        run(str(tmp_path))
+    broken[0] = False
+    resumed = run(str(tmp_path))
+    assert len(fitted) == 4 and resumed.count() == 4
+    columns = sorted(resumed.columns)
+    whole = run(None)
+    assert sorted(whole.columns) == columns and len(fitted) == 8
+    assert sorted(map(tuple, resumed.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
+    run(str(tmp_path))
+    assert len(fitted) == 8
