@@ -34,8 +34,10 @@ BAND = 1.2
 #: Nodes of a signature that one task compares with each other, and bits of their bitmaps, at most; larger groups are split
 #: into pairs of blocks.
 BLOCK, BLOCK_BITS = 512, 1 << 27
-#: Bits of a bitmap for each element of the band's largest set: with few, sets that differ in much look alike.
-SPARSE = 2
+#: Up to so many elements (as powers of two), a bitmap has twice and once as many bits as the band's largest set needs to
+#: the next power of two; half as many beyond. What sets differ in is told from chance by a share of their size, and the
+#: share's error falls as sets grow; short sets need sparser bitmaps, or such as differ in much look alike.
+SPARSE, EVEN = 9, 11
 #: Signatures of a node that the first round looks at. It only has to find most of the links; later rounds find the rest.
 SAMPLED = 4
 #: Bits of the filters that tasks get, whatever the corpus: of documents to read again, and of shared signatures (4 MB).
@@ -61,7 +63,8 @@ class Scheme:
     @property
     def bits(self) -> int:
         """Length of the parity bitmap: a power of two, so that longer ones can be folded."""
-        return max(64, SPARSE << (self.high - 1).bit_length())
+        power = (self.high - 1).bit_length()
+        return max(64, 1 << power + (1 if power <= SPARSE else 0 if power <= EVEN else -1))
 
 
 def most_different(x: int, y: int, percent: int) -> int:
@@ -452,15 +455,16 @@ def similar_sets(
     table gives no rows; other columns are not read.
     """
     schemes, words = _schemes(docs, text, percent)
-    scratch = Scratch()
+    scratch, early = Scratch(), Scratch()
     # Signatures are made twice, as most of them stand alone and needn't be kept.
     shared, bits = _shared_filter(docs, text, width, percent, schemes, words)
-    wide = scratch.written(_counted(docs, key, text, width, percent, schemes, keep, shared, bits))
+    wide = early.written(_counted(docs, key, text, width, percent, schemes, keep, shared, bits))
     counted = written(wide.select(key, *keep, "n_shingles", "node"))
     nodes = scratch.written(wide.filter("node IS NOT NULL").groupBy("node").agg(
         F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"),
         F.first("signatures").alias("signatures"),
     ))
+    early.clear()
     plain = nodes.filter("bitmap IS NOT NULL").select("node", "n_shingles", "bitmap")
     members, placed = _sampled(nodes), plain.withColumn("cluster", F.col("node"))
     links = tested = None
