@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -115,9 +116,21 @@ class Scratch:
         for spark, folder in self.folders:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self.folders:
+            unused_dropped(self.folders[0][0])
         self.folders = []
 
 
+def unused_dropped(spark: SparkSession) -> None:
+    """Has the executors drop shuffle files and broadcasts of plans that nothing refers to any more.
+
+    Spark's cleaner learns of such plans from the driver's garbage collection alone, which may not come for long: an
+    operator of many rounds would keep all rounds' files until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Distinct words whose hashes a worker remembers before it starts afresh.
 REMEMBERED = 150_000
 

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import (
     Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing,
-    short_batches, to_batch, values, without, written,
+    short_batches, to_batch, unused_dropped, values, without, written,
 )
 from corpaudit.operators.components import connected_components
 
@@ -486,6 +486,7 @@ def similar_sets(
             every = members.join(near.filter("sig IS NOT NULL").select("sig").distinct(), "sig").join(own, "node")
         tested = pairs if tested is None else tested.unionByName(pairs)
         members = scratch.written(_between(every, scratch))
+        unused_dropped(docs.sparkSession)
     scratch.clear()
     return counted, links
 
