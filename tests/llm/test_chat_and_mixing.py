@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,40 @@ def test_moments_invert_the_integral(spark):
     assert all(area(r.t) / area(1.0) == pytest.approx(r.share, abs=1e-9) for r in rows)
     with pytest.raises(ValueError):
         mixing._moment(F.lit(0.5), ((0.0, 0.0), (1.0, 0.0)))
+
+
+def test_every_copy_has_its_place_in_training(spark, documents, monkeypatch):
+    """Copies one by one: moments from the stream, positions from all sources' demand, places without gaps."""
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 500)
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(1, 40), "en", rng.choice(["a", "a", "a", "a", "a", "b", "c"])) for i in range(300)]
+    rows += [(7007, "dup row y", "en", "b"), (7007, "dup row y", "en", "b"), (None, "k " * 9, "en", "c"), (1, None, "en", "a"), (2, "", "en", "none")]
+    docs = documents(rows)
+    mix = mixing.mixed(docs).collect()
+    order = mixing.training_order(mixing.mixed(docs)).collect()
+    assert max(r.copy for r in order) >= 1
+    assert sum(r.words for r in order) == sum(r.taken for r in mix)
+    ahead = 0
+    for r in order:
+        assert r.place == ahead
+        ahead += r.words
+    assert [r.first_moment for r in order] == sorted(r.first_moment for r in order)
+    whole = {(r.source_rank, r.stream_start): r for r in mix if r.size}
+    targets = {r.source_rank: r.target for r in mix}
+    rate = lambda rank, t: np.interp(t, *zip(*mixing.SCHEDULES[rank % 3]))
+    area = lambda rank, t: np.trapezoid(rate(rank, np.linspace(0, t, 2001)), np.linspace(0, t, 2001))
+    for r in order[::7]:
+        m = whole[r.source_rank, r.stream_start]
+        share = (r.stream_start + r.copy * m.source_size) / round(m.target)
+        assert area(r.source_rank, r.first_moment) / area(r.source_rank, 1.0) == pytest.approx(share, abs=1e-5)
+        assert r.position == pytest.approx(sum(t * area(s, r.first_moment) / area(s, 1.0) for s, t in targets.items()), rel=1e-4, abs=0.1)
+    found = mixing.ordered_mix(docs).collect()
+    assert Counter((r.doc_id, r.taken) for r in found) == Counter((r.doc_id, r.taken) for r in mix)
+    places = defaultdict(list)
+    for r in order:
+        places[r.source_rank, r.stream_start].append(r.place)
+    for r in found:
+        own = places.get((r.source_rank, r.stream_start), []) if r.taken else []
+        assert (r.copies, r.first_place, r.last_place) == (len(own), min(own, default=None), max(own, default=None))
+    assert Counter(found) == Counter(mixing.ordered_mix(docs.repartition(5)).collect())
+    assert mixing.ordered_mix(documents([])).count() == 0
