@@ -66,3 +66,43 @@ def test_pooling_matches_a_plain_convolution(width):
     padded = np.concatenate([x[:5], np.zeros((width, x.shape[1]))])
     plain = [max(0, max(float((padded[i:i + width] * model.kernels[0][f]).sum()) for i in range(5))) for f in range(settings.filters)]
     assert np.allclose(pooled, plain, atol=1e-4)
+
+
+def test_all_labelled_rows_count_whole(spark, documents):
+    """Texts of any length, dealt into many pieces, whatever the tables' partitioning."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(150):
+        words = [rng.choice(("kana", "lote", "mixi", "suve")) for _ in range(3000)]
+        if i % 3 == 0:
+            words[1500:1500] = ["blarg", "snork"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    marked, settings = spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.Settings(piece_rows=30)
+    model = toxicity.train(documents(rows), marked, settings=settings)
+    other = toxicity.train(documents(rows).repartition(7), marked.repartition(4), settings=settings)
+    assert np.array_equal(model.table, other.table) and model.thresholds == other.thresholds and model.scale == other.scale
+    found = {r.doc_id: r.score for r in toxicity.toxicity_scores(documents(rows), model).collect()}
+    assert all((found[i] >= 0.5) == bool(y) for i, y in labels)
+
+
+def test_row_counts_and_thresholds_are_exact(spark):
+    """Counts over all pieces, and thresholds, against plain computations."""
+    rng, s = random.Random(4), toxicity.Settings(buckets=64)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6))), None, i % 2, i % 5 > 0) for i in range(90)]
+    pieces = spark.createDataFrame(rows, "_text string, _lang string, _label int, _fits boolean").repartition(4)
+    plain = np.zeros((2, 128), np.int64)
+    for text, _, label, fits in rows:
+        if fits:
+            plain[label, np.unique(toxicity.word_rows(text.encode(), 64))] += 1
+    assert np.array_equal(toxicity._row_counts(toxicity._packed(pieces), s), plain)
+    scores = [(rng.choice(["en", "de", "x", None]), int(rng.random() < 0.6), round(rng.random(), 2)) for _ in range(400)]
+    scores = [(a, int(y or v > 0.8), v) for a, y, v in scores] + [("few", 1, 0.9)]
+    found = toxicity._thresholds(spark.createDataFrame(scores, "lang string, label int, score double"), s)
+    for name in ("en", "de", "x", None):
+        own = [(v, y) for a, y, v in scores if name is None or a == name]
+        cuts = sorted({v for v, _ in own}, reverse=True)
+        good = [c for c in cuts if np.mean([y for v, y in own if v >= c]) >= s.precision]
+        below = [c for c in cuts if good and c < good[-1]]
+        assert found[name] == pytest.approx(max((good[-1] + (below[0] if below else 0)) / 2, s.least_threshold) if good else 0.5)
+    assert set(found) == {"en", "de", "x", None}
