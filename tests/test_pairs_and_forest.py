@@ -124,3 +124,33 @@ def test_forest_of_nothing_keeps_singletons(spark):
     rows = spark.createDataFrame([(1,), (2,)], "id long")
     found = forest.spanning_forest(none).clusters_at(rows, "id", [0.5]).collect()
     assert sorted((r["id"], r["cluster"]) for r in found) == [(1, 1), (2, 2)]
+
+
+def test_every_vector_is_shuffled_once_for_all_comparisons(spark, monkeypatch):
+    """Blocks hold each point once, and meet without an exchange, however many cells a row's bound leaves open."""
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 20)
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(90, 8)))],
+                                   "id long, vector array<double>")
+    _, met = neighbours._blocks(points, 90, 3, -1.0)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    blocks = {r["block"]: np.frombuffer(r["ids"], np.int64).tolist() for r in met.collect()}
+    assert sorted(i for ids in blocks.values() for i in ids) == list(range(90)) and len(blocks) > 4
+
+
+@pytest.mark.parametrize("chunk", [8192, 9])
+def test_dense_pairs_match_brute_force_with_copies_and_short_vectors(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(11)
+    vectors = np.vstack([rng.normal(size=(60, 5)), np.array([1.0, 2, 3, 4, 0]) + rng.normal(scale=0.05, size=(30, 5))])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(100, [1.0, 2.0, 3.0, 4.0]), (101, [2.0, 4.0, 6.0, 8.0, None])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = neighbours.dense_pairs_above(df, "id", "v", 0.6)
+    full = np.array([[x or 0.0 for x in v] + [0.0] * (5 - len(v)) for _, v in rows if _ != 101])
+    unit = full / np.linalg.norm(full, axis=1, keepdims=True)
+    ids = [i for i, _ in rows if i != 101]
+    expected = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.6, 1)))}
+    listed = [(r["row_a"], r["row_b"]) for r in found.pairs.collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == expected
+    assert {(r["id"], r["rep"]) for r in found.members.filter("copies > 1").collect()} == {(100, 100), (101, 100)}
