@@ -118,8 +118,8 @@ def _counted(texts: Iterator[tuple[np.ndarray, int]], settings: Settings) -> np.
 
 @dataclass
 class _Training:
-    """A model with Adagrad's sums of squares. ``state`` lists both as matrices of ``dims`` columns: the rows of the
-    embedding tables, then all other parameters in a row."""
+    """A model with Adagrad's sums of squares. Steps list both as matrices of ``dims`` columns: the rows of the embedding
+    tables, then all other parameters in a row."""
 
     model: ConvolutionalClassifier
     importance: np.ndarray
@@ -149,19 +149,34 @@ class _Training:
         m = self.model
         return [m.table, *m.kernels, *m.biases, m.weights], self.squares
 
-    def state(self) -> tuple[np.ndarray, np.ndarray]:
+    def _small(self) -> tuple[np.ndarray, np.ndarray]:
+        """What follows the embedding tables in the list of parameters, and its sums of squares."""
         dims, packed = self.model.settings.dims, []
         for arrays, bias in zip(self._lists(), (self.model.bias, self.bias_square)):
             rest = np.concatenate([*(a.ravel() for a in arrays[1:]), [bias]])
-            rest = np.pad(rest, (0, -len(rest) % dims)).reshape(-1, dims)
-            packed.append(np.concatenate([arrays[0], rest]).astype(np.float64))
+            packed.append(np.pad(rest, (0, -len(rest) % dims)).reshape(-1, dims).astype(np.float64))
         return packed[0], packed[1]
 
-    def load(self, parameters: np.ndarray, squares: np.ndarray) -> None:
-        ends = []
-        for arrays, packed in zip(self._lists(), (parameters, squares)):
-            arrays[0][:] = packed[:len(arrays[0])]
-            rest, at = packed[len(arrays[0]):].ravel(), 0
+    def steps_from(self, before: "_Training") -> tuple[np.ndarray, list[np.ndarray]]:
+        """The places that moved since ``before``, and their steps: of parameters, then of squares. The tables are compared
+        as they are; only rows that moved are taken out."""
+        tables = [(a[0], b[0]) for a, b in zip(self._lists(), before._lists())]
+        smalls = list(zip(self._small(), before._small()))
+        moved = [np.flatnonzero((after != old).any(axis=1)) for after, old in (tables[1], smalls[1])]
+        steps = [
+            np.concatenate([after[at].astype(np.float64) - old[at] for (after, old), at in zip((table, small), moved)])
+            for table, small in zip(tables, smalls)
+        ]
+        return np.concatenate([moved[0], len(tables[0][0]) + moved[1]]), steps
+
+    def move(self, places: np.ndarray, steps: Sequence[np.ndarray]) -> None:
+        """Adds the steps of parameters and of squares at the places."""
+        size, ends = len(self.model.table), []
+        inside = places < size
+        for arrays, small, step in zip(self._lists(), self._small(), steps):
+            arrays[0][places[inside]] = arrays[0][places[inside]].astype(np.float64) + step[inside]
+            small[places[~inside] - size] += step[~inside]
+            rest, at = small.ravel(), 0
             for a in arrays[1:]:
                 a[...] = rest[at:at + a.size].reshape(a.shape)
                 at += a.size
@@ -214,6 +229,8 @@ def fitted(texts: Sequence[np.ndarray], labels: Sequence[int], settings: Setting
     return training.model
 
 
+#: Rows of raw answers that a task of the scaling's steps takes, about.
+ANSWER_ROWS = 400_000
 #: Steps are added up as whole numbers of these parts, so that the order of the sum doesn't show.
 _PARTS = (2.0**32, 2.0**24)
 
@@ -267,15 +284,12 @@ def _epoch(pieces: DataFrame, training: _Training, epoch: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.deepcopy(shared.value)  # a worker may keep the shared object for its next piece
-        before = own.state()
         rng = np.random.default_rng((s.seed, epoch, TaskContext.get().partitionId()))
         for part in _labelled(batches, s, True):
             for i in rng.permutation(len(part)):
                 own.step(part[i][0], part[i][1])
-        after = own.state()
-        moved = np.flatnonzero((after[1] != before[1]).any(axis=1))
-        steps = [np.rint((x[moved] - y[moved]) * parts).astype(np.int64) for x, y, parts in zip(after, before, _PARTS)]
-        columns = [pa.array(c) for matrix in steps for c in matrix.T]
+        moved, steps = own.steps_from(shared.value)
+        columns = [pa.array(c) for matrix, parts in zip(steps, _PARTS) for c in np.rint(matrix * parts).astype(np.int64).T]
         made = pa.RecordBatch.from_arrays([pa.array(moved, pa.int32()), *columns], names=["place", *names])
         for start in range(0, made.num_rows, 10_000):
             yield made.slice(start, 10_000)
@@ -284,11 +298,8 @@ def _epoch(pieces: DataFrame, training: _Training, epoch: int) -> None:
     scale = lambda n: _PARTS[n.startswith("square")]
     merged = moves.groupBy("place").agg(
         *[(F.sum(n) / F.count(F.lit(1)) / F.lit(scale(n))).cast("float").alias(n) for n in names]).toArrow()
-    state, places = training.state(), merged["place"].to_numpy()
-    for kind, matrix in zip(("move", "square"), state):
-        for i in range(s.dims):
-            matrix[places, i] += merged[f"{kind}{i}"].to_numpy()
-    training.load(*state)
+    training.move(merged["place"].to_numpy(), [
+        np.stack([merged[f"{kind}{i}"].to_numpy() for i in range(s.dims)], axis=1) for kind in ("move", "square")])
     shared.destroy()
 
 
@@ -378,7 +389,10 @@ def train(
                 pa.array([shared.value.raw(rows) for rows, _, _ in part], pa.float64()),
             ], names=["lang", "label", "raw"])
 
-    raws = checkpointed(short_batches(pieces).mapInArrow(answers, "lang string, label int, raw double"))
+    # A few numbers a row: written in few files, which every step of the scaling reads. Sorted, so that sums agree in reruns.
+    raws = short_batches(pieces).mapInArrow(answers, "lang string, label int, raw double")
+    raws = checkpointed(raws.repartition(math.ceil(totals.sum() / ANSWER_ROWS)).sortWithinPartitions("raw", "label", "lang"))
+    shared.destroy()
     model.scale, model.shift = _scaled(raws)
     z = F.least(F.greatest(F.col("raw") * model.scale + model.shift, F.lit(-40.0)), F.lit(40.0))
     model.thresholds = _thresholds(raws.select("lang", "label", (1 / (1 + F.exp(-z))).alias("score")), s)

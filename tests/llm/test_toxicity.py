@@ -1,6 +1,8 @@
 """The classifier learns words in context, keeps held-out rows out, and scores any text."""
 
+import copy
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,3 +108,36 @@ def test_row_counts_and_thresholds_are_exact(spark):
         below = [c for c in cuts if good and c < good[-1]]
         assert found[name] == pytest.approx(max((good[-1] + (below[0] if below else 0)) / 2, s.least_threshold) if good else 0.5)
     assert set(found) == {"en", "de", "x", None}
+
+
+def test_steps_take_no_copy_of_the_tables():
+    """Steps between two states and their sum give the later state; only rows that moved are taken out."""
+    settings = toxicity.Settings(buckets=1 << 15)
+    counts = np.zeros((2, 2 * settings.buckets), np.int64)
+    before = toxicity._Training.begun(counts, np.array([3, 3]), settings)
+    after, again = copy.deepcopy(before), copy.deepcopy(before)
+    for i in range(20):
+        after.step(toxicity.word_rows(f"w{i} w{i + 1} blarg".encode(), settings.buckets), i % 2)
+    tracemalloc.start()
+    places, steps = after.steps_from(before)
+    again.move(places, steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < len(places) < 200 and peak < after.model.table.nbytes
+    assert np.array_equal(again.model.table, after.model.table) and np.array_equal(again.squares[0], after.squares[0])
+    assert np.array_equal(again.model.weights, after.model.weights) and again.model.bias == after.model.bias
+    assert all(np.array_equal(a, b) for a, b in zip(again.model.kernels, after.model.kernels))
+
+
+def test_scaling_reads_few_files(spark, documents, monkeypatch):
+    """The raw answers' files follow their number, not that of the pieces of texts; every calibration row is there."""
+    rows, labels = _table()
+    seen, plain = [], toxicity._scaled
+
+    def scaled(raws):
+        seen.append((raws.rdd.getNumPartitions(), raws.count()))
+        return plain(raws)
+
+    monkeypatch.setattr(toxicity, "_scaled", scaled)
+    toxicity.train(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), settings=toxicity.Settings(piece_rows=40))
+    assert seen == [(1, sum(zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in labels))]
