@@ -103,3 +103,26 @@ def test_length_buckets_are_right_closed(spark):
     assert [got[i] for i in range(1, 11)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
     same = df.withColumn("n", F.lit(5))
     assert errors.length_buckets(same, ["n"], ["job_id"]).count() == 0
+
+
+def test_groups_share_their_parts(spark, monkeypatch):
+    """What several groups have in common is fitted once, and made once per row, with the vectors of groups on their own."""
+    roles = features.Roles("id", "label", ("body",), ("c",), ("flag",), ("n",))
+    df = spark.createDataFrame(
+        [(1, "red fox red", "x", 1, 4), (2, "red hen", "y", None, 0), (3, "fox hen owl", None, 0, 9), (4, None, "x", 1, None)],
+        "id long, body string, c string, flag int, n int")
+    fits, plain = [], features.TfIdf.fit
+    monkeypatch.setattr(features.TfIdf, "fit", lambda self, rows: fits.append(1) or plain(self, rows))
+    shared = features.SharedParts()
+    groups = {g: features.FeatureSet(g, roles, "body").fit(df, shared) for g in features.FEATURE_GROUPS}
+    assert len(fits) == 1
+    got = {r["id"]: r for r in features.transform_groups(df, groups).collect()}
+    measured = {r["id"]: r for r in features.transform_groups(df, groups).select(
+        "id", *[F.struct(features.vector_width(g).alias("width"), features.filled_entries(g).alias("filled")).alias(g) for g in groups]).collect()}
+    for name, fitted in groups.items():
+        alone = features.FeatureSet(name, roles, "body").fit(df)
+        assert alone.names() == fitted.names()
+        for r in alone.transform(df).collect():
+            own = r["features"].toArray()
+            assert list(got[r["id"]][name].toArray()) == list(own)
+            assert tuple(measured[r["id"]][name]) == (len(own), int((own != 0).sum()))
