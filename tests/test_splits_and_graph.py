@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpaudit.operators import components, duplicates, neighbours, sampling, splits
+from corpaudit.operators import components, duplicates, neighbours, sampling, splits, topics
 from corpaudit.plans import studies
 from corpaudit.operators.topics import fit_topics, right_singular_vectors
 from corpaudit.sources import corpus, results
@@ -150,6 +150,23 @@ def test_singular_vectors_match_numpy(spark):
     assert np.abs(np.sum(vectors * truth[2][:3].T, axis=0)) == pytest.approx(np.ones(3))
 
 
+def test_partial_sums_follow_the_cores(spark, monkeypatch):
+    """However many pieces the rows are in, the partial sums of a pass are no more than run at a time."""
+    rng, pieces, plain = np.random.default_rng(3), [], topics._summed
+    matrix = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, list(range(5)), r.tolist()) for i, r in enumerate(matrix)], "id long, indices array<int>, values array<double>")
+
+    def summed(partial, *rest):
+        pieces.append(partial.rdd.getNumPartitions())
+        return plain(partial, *rest)
+
+    monkeypatch.setattr(topics, "_summed", summed)
+    many, basis = df.repartition(40), rng.normal(size=(5, 3))
+    assert topics._gram_product(many, basis) == pytest.approx(matrix.T @ matrix @ basis)
+    topics._column_sums(many, np.abs(basis.T))
+    assert len(pieces) == 2 and max(pieces) <= spark.sparkContext.defaultParallelism
+
+
 def test_topics_separate_two_subjects(spark):
     texts = ["apple pear apple plum", "pear plum apple", "engine wheel brake", "brake engine engine"] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
