@@ -80,6 +80,34 @@ def test_few_comparisons_of_unrelated_vectors(spark):
     assert index.filter("term = 0").count() == 0
 
 
+@pytest.mark.parametrize("rows_of_a_block", [16, 4096])
+def test_sketches_find_the_pairs_that_the_index_finds(spark, monkeypatch, rows_of_a_block):
+    """Few classes, so that sketches leave more open than there is; weights of both signs; ties at the threshold."""
+    monkeypatch.setattr(allpairs, "SKETCH", 8)
+    monkeypatch.setattr(allpairs, "ROWS", rows_of_a_block)
+    rows = sparse_rows(7, 120) + [(4000, {1: 1.0, 2: -1.0}), (4001, {1: 1.0, 2: -0.9}), (4002, {1: 1.0, 2: 1.0})]
+    ways = []
+    for listed in (0, 10**9):
+        monkeypatch.setattr(allpairs, "LISTED", listed)
+        found = allpairs.pairs_above(frame(spark, rows), "id", F.col("entries"), 0.7).edges()
+        ways.append({(r["row_a"], r["row_b"]): round(r["cosine_similarity"], 9) for r in found.collect()})
+    assert ways[0] == ways[1]
+    assert (4000, 4001) in ways[0] and (4000, 4002) not in ways[0]
+
+
+def test_no_vector_is_sent_for_every_term(spark, monkeypatch):
+    """Vectors that share many terms: the index would send each for all of its terms and blocks."""
+    rng = np.random.default_rng(1)
+    rows = [(i, {int(t): float(rng.random()) for t in rng.choice(60, 30, replace=False)}) for i in range(200)]
+
+    def refused(index):
+        raise AssertionError("the index is dealt out")
+
+    monkeypatch.setattr(allpairs, "_dealt", refused)
+    found = allpairs.pairs_above(frame(spark, rows), "id", F.col("entries"), 0.8)
+    assert {(r["row_a"], r["row_b"]) for r in found.pairs.collect()} == brute(rows, 0.8)
+
+
 def union_find(nodes, pairs, threshold):
     root = {n: n for n in nodes}
 
