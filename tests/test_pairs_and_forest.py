@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from corpaudit.operators import allpairs, components, forest, neighbours
@@ -182,3 +183,16 @@ def test_dense_pairs_match_brute_force_with_copies_and_short_vectors(spark, monk
     listed = [(r["row_a"], r["row_b"]) for r in found.pairs.collect()]
     assert len(listed) == len(set(listed)) and set(listed) == expected
     assert {(r["id"], r["rep"]) for r in found.members.filter("copies > 1").collect()} == {(100, 100), (101, 100)}
+
+
+def test_forest_keeps_rows_nodes(spark):
+    """The trees aren't sent to every task of every pass; the fit is the same."""
+    from corpaudit.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [(int(x + 0.3 * e > 0.5), DenseVector([x, y]), 1.0) for x, y, e in rng.random((120, 3)).tolist()]
+    train = spark.createDataFrame(rows, ["label", "features", "weight"])
+    estimator = models._estimator(models.ModelSpec("forest", models.FOREST, trees=5), 120.0, 7)
+    assert estimator.getCacheNodeIds()
+    plain = estimator.copy({estimator.cacheNodeIds: False})
+    assert estimator.fit(train).toDebugString.split("\n")[1:] == plain.fit(train).toDebugString.split("\n")[1:]
