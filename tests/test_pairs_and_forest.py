@@ -196,3 +196,33 @@ def test_forest_keeps_rows_nodes(spark):
     assert estimator.getCacheNodeIds()
     plain = estimator.copy({estimator.cacheNodeIds: False})
     assert estimator.fit(train).toDebugString.split("\n")[1:] == plain.fit(train).toDebugString.split("\n")[1:]
+
+
+@pytest.mark.parametrize("alike", [1024, 2])
+def test_every_pair_has_copies_repeated_rows_and_keys_of_several_vectors(spark, monkeypatch, alike):
+    monkeypatch.setattr(neighbours, "ALIKE", alike)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    rows += [(100 + i, rows[3][1]) for i in range(9)] + [(200, rows[5][1]), (200, rows[5][1])]
+    rows += [(-1, rows[7][1]), (-1, rows[8][1]), (-1, [-x for x in rows[8][1]]), (None, rows[3][1]), (300, [0.0] * 4), (301, None)]
+    found = neighbours.every_pair_above(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.6)
+    kept = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and any(v)]
+    cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    expected = [(i, j, round(float(cosine(a, b)), 6)) for i, a in kept for j, b in kept if i < j and cosine(a, b) >= 0.6]
+    assert sorted((r["row_a"], r["row_b"], round(r["cosine_similarity"], 6)) for r in found.collect()) == sorted(expected)
+
+
+def test_every_pair_query_lists_copies_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from workloads.check import compare
+
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(6, 64)).astype(np.float32).tolist()
+    rows = [(i, vectors[i % 6], i % 3) for i in range(15)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = entry.queries()["every_pair"](spark, str(tmp_path)).toPandas()
+    assert len(found) == 3 * 3 + 3 * 1 and compare(found, db.execute(entry.oracle_sql()["every_pair"]).df()) == ""
