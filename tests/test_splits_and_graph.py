@@ -247,3 +247,25 @@ def test_a_broken_study_fits_only_its_missing_runs(spark, tmp_path, monkeypatch)
     assert sorted(map(tuple, resumed.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
     run(str(tmp_path))
     assert len(fitted) == 8
+
+
+def test_leakage_matrix_query_runs_every_seed_of_the_study(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpaudit.operators import models
+    from corpaudit.plans import studies
+    from workloads import modelling
+
+    rows = spark.range(40).select(
+        F.col("id").alias("job_id"), (F.col("id") % 4 == 0).cast("int").alias("fraudulent"),
+        F.col("id").cast("string").alias("exact_signature"), F.col("id").alias("near_template_cluster_098"))
+
+    def scored(parts, specs, key, label, **_):
+        test = parts.filter("part = 'test'").select(key, F.col(label).alias("label"), (F.col(key) % 3 - 1.0).alias("score"))
+        return models.union_all([test.select(F.lit(s.name).alias("model"), F.lit(s.threshold).alias("threshold"), "*") for s in specs]), {}
+
+    monkeypatch.setattr(modelling, "near_clustered", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(studies, "evaluate_split", scored)
+    found = modelling.leakage_matrix(spark, "").select("model", "split_protocol", "seed").collect()
+    assert len(found) == len(set(found)) == len(studies.LEAKAGE_MODELS) * 3 * 5
+    assert {r["seed"] for r in found} == set(studies.LEAKAGE_SEEDS)
