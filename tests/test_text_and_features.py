@@ -126,3 +126,39 @@ def test_groups_share_their_parts(spark, monkeypatch):
             own = r["features"].toArray()
             assert list(got[r["id"]][name].toArray()) == list(own)
             assert tuple(measured[r["id"]][name]) == (len(own), int((own != 0).sum()))
+
+
+def test_fits_leave_only_scores_in_the_checkpoint_folder(spark):
+    """Training vectors are deleted after the fits, and texts that no model reads aren't written again."""
+    import os
+    from urllib.parse import urlparse
+
+    from corpaudit.operators import models
+    from corpaudit.session import checkpointed
+
+    checkpointed(spark.range(1))
+    folder = urlparse(spark.sparkContext.getCheckpointDir()).path
+
+    def tables():
+        return {d for d in os.listdir(folder) if d.startswith("rdd-")}
+
+    words = F.when(F.col("id") % 5 == 0, "wire money urgent cash").otherwise("steady office engineer team")
+    df = spark.range(120).select(
+        F.col("id").alias("job_id"), words.alias("combined_text"), (F.col("id") % 5 == 0).cast("int").alias("fraudulent"),
+        F.lit("unread").alias("description"), (F.col("id") % 3).cast("int").alias("has_questions"),
+        F.when(F.col("id") % 4 == 1, "test").otherwise("train").alias("part"),
+    )
+    specs = [
+        models.ModelSpec("svm", models.LINEAR_SVM, "text_only", max_iter=10),
+        models.ModelSpec("log", models.LOGISTIC, "text_plus_credibility", max_iter=10),
+        models.ModelSpec("again", models.LINEAR_SVM, "text_only", max_iter=10),
+    ]
+    assert models.model_inputs(df, specs, ["job_id"]).columns == ["job_id", "combined_text", "has_questions"]
+    before = tables()
+    scored, fitted = models.evaluate_split(df, specs)
+    assert len(tables() - before) == 2  # scores of both feature groups
+    assert scored.count() == 90 and set(fitted) == {"svm", "log", "again"}
+    before = tables()
+    labelled = df.withColumn("label", F.col("fraudulent"))
+    assert models.fit(specs[0], labelled).score(labelled, ["job_id"]).count() == 120
+    assert tables() == before
