@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpaudit.llm.common import (
-    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, hash_filter, in_filter, mixed_bits, passing,
-    short_batches, to_batch, unused_dropped, values, without, written,
+    Scratch, WordHashes, arrow_map, as_bytes, blank_words, gram_hashes, grown_filter, hash_filter, in_filter, mixed_bits,
+    passing, short_batches, to_batch, unused_dropped, values, without, written,
 )
 from corpaudit.operators.components import connected_components
 
@@ -40,10 +40,10 @@ BLOCK, BLOCK_BITS = 512, 1 << 27
 SPARSE, EVEN = 9, 11
 #: Signatures of a node that the first round looks at. It only has to find most of the links; later rounds find the rest.
 SAMPLED = 4
-#: Bits of the filters that tasks get, whatever the corpus: of documents to read again, and of shared signatures (4 MB).
-#: Full filters let more rows through to the joins, which decide.
+#: Bits of the filters that tasks get: of documents to read again, and of shared signatures (4 MB, and up to 16 MB for the
+#: signatures of all documents, by their number). Full filters let more rows through to the joins, which decide.
 FILTER_BITS = 1 << 23
-SIGNATURE_BITS = 1 << 25
+SIGNATURE_BITS, MOST_BITS = 1 << 25, 1 << 27
 #: Signatures that a task packs together, and that a bucket of the count holds, about.
 PACKED, COUNTED = 1 << 20, 1 << 22
 _HASHES = WordHashes()
@@ -273,7 +273,11 @@ def _shared_filter(
         return pa.table({"hash": pa.array(mixed_bits(cells).view(np.int64), pa.int64())})
 
     made = short_batches(docs.select(text)).mapInArrow(pack, out)
-    return hash_filter(made.groupBy("bucket").applyInArrow(unpack, "hash long"), SIGNATURE_BITS), bits
+    scratch = Scratch()
+    hashes = scratch.written(made.groupBy("bucket").applyInArrow(unpack, "hash long"))
+    filled = grown_filter(hashes, SIGNATURE_BITS, MOST_BITS)
+    scratch.clear()
+    return filled, bits
 
 
 _COUNTED = T.StructType([

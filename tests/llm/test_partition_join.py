@@ -116,3 +116,15 @@ def test_similar_sets_share_a_signature(common, only_x, only_y, percent, rows, s
 def test_more_rows_buy_larger_segments():
     few, many = pj.allocated(1, 500, 600, 10**4, 90), pj.allocated(1, 500, 600, 10**11, 90)
     assert few.deletions == 0 and many.deletions > 0 and many.segments < few.segments
+
+
+def test_filter_of_shared_signatures_does_not_fill_up(spark, documents, monkeypatch):
+    monkeypatch.setattr(pj, "SIGNATURE_BITS", 1 << 10)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    docs = documents(rows)
+    schemes, words = pj._schemes(docs, "text", 80)
+    filled, _ = pj._shared_filter(docs, "text", 5, 80, schemes, words)
+    assert len(filled) * 64 > 1 << 10
+    assert sum(int(w).bit_count() for w in filled) < 0.3 * 64 * len(filled)
